@@ -108,9 +108,24 @@ def html_parsing_error(html) -> Column:
     return F.when(_c(html).isNull(), F.lit(0)).when(balanced, F.lit(0)).otherwise(F.lit(1))
 
 
+def count_matches(t, char_class: str) -> Column:
+    """Number of characters of ``t`` in a single-character regex class.
+
+    Counted as a length difference after deleting the class: one pass that
+    builds one string, instead of ``regexp_count`` which materialises every
+    match as its own string.
+    """
+    t = _c(t)
+    return F.length(t) - F.length(F.regexp_replace(t, char_class, ""))
+
+
 def word_count(t) -> Column:
-    """C4: number of white-space separated tokens (Python ``str.split()``)."""
-    return F.coalesce(F.regexp_count(_c(t), F.lit(NOT_WS + "+")), F.lit(0))
+    """C4: number of white-space separated tokens (Python ``str.split()``).
+
+    Each token collapses to one ``x``; deleting the white space then leaves
+    exactly one character per token."""
+    runs = F.regexp_replace(_c(t), NOT_WS + "+", "x")
+    return F.coalesce(F.length(F.regexp_replace(runs, WS + "+", "")), F.lit(0))
 
 
 def readable_proportion(clean, html) -> Column:
@@ -125,14 +140,14 @@ def whitespace_ratio(t) -> Column:
     """Share of white-space characters in text_plain; null/empty -> 0."""
     t = _c(t)
     return (F.when(t.isNull() | (F.length(t) == 0), F.lit(0.0))
-            .otherwise(F.regexp_count(t, F.lit(WS)) / F.length(t)))
+            .otherwise(count_matches(t, WS) / F.length(t)))
 
 
 def alphabet_proportion(t) -> Column:
     """Share of letters (``str.isalpha``); empty -> 0."""
     t = _c(t)
     return (F.when(t.isNull() | (F.length(t) == 0), F.lit(0.0))
-            .otherwise(F.regexp_count(t, F.lit(LETTER)) / F.length(t)))
+            .otherwise(count_matches(t, LETTER) / F.length(t)))
 
 
 # -- C8 ------------------------------------------------------------------------

@@ -154,6 +154,20 @@ def offline_features(meta: DataFrame) -> DataFrame:
     )
 
 
+def name_server_features(df: DataFrame, domain_ns: DataFrame) -> DataFrame:
+    """H17+H18: attach sender and first-hop name servers and compare them.
+
+    ``df`` needs ``from_email_domain`` and ``hop_domain``.  The dimension has
+    one row per domain, so the left joins never multiply rows.
+    """
+    ns_from = domain_ns.select(F.col("domain").alias("from_email_domain"),
+                               F.col("name_servers").alias("_ns_from"))
+    ns_hop = domain_ns.select(F.col("domain").alias("hop_domain"),
+                              F.col("name_servers").alias("_ns_hop"))
+    return (df.join(ns_from, "from_email_domain", "left").join(ns_hop, "hop_domain", "left")
+            .withColumn("name_server_match", H.name_servers_match("_ns_hop", "_ns_from")))
+
+
 def feature_table(meta: DataFrame, domain_ns: DataFrame, grammar: DataFrame,
                   segments: DataFrame) -> DataFrame:
     """Metadata -> the 28-feature row + targets, with D6 relabelling.

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "mailguard") -> SparkSession:
+                  app_name: str = "mailguard", conf: dict | None = None) -> SparkSession:
     """Session tuned for the library's jobs.
 
     On a cluster the master and partition counts come from the submit
@@ -32,6 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.driver.memory", os.environ.get("MAILGUARD_DRIVER_MEMORY", "16g"))
     )
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

@@ -83,8 +83,9 @@ def get_dmarc_result(auth) -> Column:
 
 
 def auth_method_result(auth, method: str) -> Column:
-    """H6: ``<method> = <word>`` ignoring case and spaces; null when absent."""
-    return F.lower(_first_match(_c(auth), rf"(?i){method}{WS}*={WS}*({WORD}+)"))
+    """H6: ``<method> = <word>`` ignoring case and spaces, lower; none when absent."""
+    return F.coalesce(F.lower(_first_match(_c(auth), rf"(?i){method}{WS}*={WS}*({WORD}+)")),
+                      F.lit("none"))
 
 
 def extract_dkim_domain(sig) -> Column:

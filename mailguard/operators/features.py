@@ -56,6 +56,14 @@ def email_list(spark: SparkSession, paths: DataFrame, root: str = DATASET_ROOT)
             .select("path", "target_1", "target_2", "target_3"))
 
 
+def label_emails(spark: SparkSession, mails: DataFrame, root: str = DATASET_ROOT) -> DataFrame:
+    """Mails + target_1..3 from the folder in the path (broadcast 14-row map)."""
+    lm = F.broadcast(label_map(spark))
+    return (mails.withColumn("_folder", folder_of("path", root))
+            .join(lm, F.col("_folder") == lm["folder"], "left")
+            .drop("_folder", lm["folder"]))
+
+
 def drop_self_phishing(df: DataFrame) -> DataFrame:
     """drop target_3 = self_phishing (null targets are kept)."""
     return df.filter(~F.col("target_3").eqNullSafe("self_phishing"))

@@ -106,7 +106,7 @@ def spf_result(s: str) -> str:
 
 
 def auth_method_result(a: str, method: str) -> str:
-    return f"lower({first(a, '(?i)' + method + WS + '*=' + WS + '*(' + H.WORD + '+)')})"
+    return f"coalesce(lower({first(a, '(?i)' + method + WS + '*=' + WS + '*(' + H.WORD + '+)')}), 'none')"
 
 
 def dkim_domain(sig: str) -> str:

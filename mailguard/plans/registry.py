@@ -38,5 +38,6 @@ def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from mailguard.plans import (  # noqa: F401
         feature_queries,
+        profile_queries,
     )
     return REGISTRY

@@ -39,5 +39,6 @@ def load_all() -> dict[str, Query]:
     from mailguard.plans import (  # noqa: F401
         feature_queries,
         profile_queries,
+        metric_queries,
     )
     return REGISTRY

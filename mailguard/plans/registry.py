@@ -40,5 +40,6 @@ def load_all() -> dict[str, Query]:
         feature_queries,
         profile_queries,
         metric_queries,
+        dataset_queries,
     )
     return REGISTRY

@@ -41,5 +41,6 @@ def load_all() -> dict[str, Query]:
         profile_queries,
         metric_queries,
         dataset_queries,
+        text_queries,
     )
     return REGISTRY

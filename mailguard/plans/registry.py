@@ -42,5 +42,6 @@ def load_all() -> dict[str, Query]:
         metric_queries,
         dataset_queries,
         text_queries,
+        model_queries,
     )
     return REGISTRY

@@ -43,5 +43,6 @@ def load_all() -> dict[str, Query]:
         dataset_queries,
         text_queries,
         model_queries,
+        stream_queries,
     )
     return REGISTRY

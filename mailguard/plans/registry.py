@@ -44,5 +44,6 @@ def load_all() -> dict[str, Query]:
         text_queries,
         model_queries,
         stream_queries,
+        source_queries,
     )
     return REGISTRY

@@ -64,9 +64,12 @@ def with_bigrams(df: DataFrame, tokens: str, out: str = "grams") -> DataFrame:
 
 def tfidf(df: DataFrame, doc: str, tokens: str) -> DataFrame:
     """T5: (doc, term, weight) with smooth idf ln((1+n)/(1+df)) + 1 and an L2
-    norm per document (the reference vectoriser's defaults)."""
-    n_docs = df.count()
-    dt = doc_terms(df, doc, tokens)
+    norm per document (the reference vectoriser's defaults).
+
+    The (doc, term, tf) table is persisted: it feeds the document count, the
+    document frequencies and the weights (a lost block is recomputed)."""
+    dt = doc_terms(df, doc, tokens).persist()
+    n_docs = df.select(doc).count()
     dfs = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = dt.join(dfs, "term").withColumn(
         "w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
@@ -76,11 +79,12 @@ def tfidf(df: DataFrame, doc: str, tokens: str) -> DataFrame:
 
 def top_keywords(weights: DataFrame, doc: str, n: int = 5) -> DataFrame:
     """The ``n`` highest-weight terms per document (ties -> term order),
-    as an ordered, space-joined list."""
+    as an ordered, space-joined list, with the top weight."""
     rw = Window.partitionBy(doc).orderBy(F.col("weight").desc(), "term")
     top = weights.withColumn("_r", F.row_number().over(rw)).filter(F.col("_r") <= n)
     return top.groupBy(doc).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]), " ").alias("keywords"))
+        F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]), " ").alias("keywords"),
+        F.max("weight").alias("top_weight"))
 
 
 def bag_of_words(df: DataFrame, doc: str, tokens: str) -> DataFrame:

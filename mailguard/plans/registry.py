@@ -45,5 +45,6 @@ def load_all() -> dict[str, Query]:
         model_queries,
         stream_queries,
         source_queries,
+        url_queries,
     )
     return REGISTRY

@@ -15,10 +15,18 @@ from mailguard.plans.registry import register
 
 
 def corpus(spark: SparkSession, sf_dir: str, make_zip: bool = False) -> str:
-    """Write the stand-in mails as .eml files (and zips) under a fresh folder
-    of the shared checkpoint directory; returns the folder."""
-    root = IO.scratch_path(spark, "corpus")
-    MM.write_messages(FX.emails(spark, sf_dir), root, make_zip=make_zip)
+    """The stand-in mails as .eml files (and zips) in the shared checkpoint
+    directory.  Written once per input folder: a completion marker makes
+    later queries reuse the finished corpus instead of rewriting it."""
+    import hashlib
+    import os
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|zip={make_zip}".encode()).hexdigest()[:16]
+    root = f"{IO.checkpoint_dir(spark).rstrip('/')}/corpus-{key}"
+    marker = f"{root}/_COMPLETE"
+    if not os.path.exists(marker):
+        MM.write_messages(FX.emails(spark, sf_dir), root, make_zip=make_zip)
+        with open(marker, "w") as f:
+            f.write("ok")
     return root
 
 

@@ -124,8 +124,7 @@ def tfidf_top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-5 TF-IDF keywords (smooth idf, L2 norm) of every cleaned body."""
     w = TM.tfidf(_topic_docs(spark, sf_dir), "path", "tokens")
     top = TM.top_keywords(w, "path", 5)
-    mx = w.groupBy("path").agg(F.round(F.max("weight"), 6).alias("top_weight"))
-    return top.join(mx, "path")
+    return top.select("path", "keywords", F.round("top_weight", 6).alias("top_weight"))
 
 
 @register("bag_of_words", BODY_TOKENS_SQL + """

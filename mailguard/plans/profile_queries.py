@@ -223,25 +223,33 @@ def scores_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duck_quota_sample(src: str, strata: list[str], key: str, quota_sql: str, seed: str = "42",
-                       buckets: int = SM.DEFAULT_BUCKETS, flag: str = "_selected") -> str:
-    """DuckDB rendering of ``sampling.quota_sample`` (same algorithm)."""
+                       buckets: int = SM.DEFAULT_BUCKETS, flag: str = "_selected", prefix: str = "") -> str:
+    """DuckDB rendering of ``sampling.quota_sample`` (same algorithm).  CTE
+    names get ``prefix``; the result CTE is ``{prefix}sampled`` and the
+    per-stratum cell table ``{prefix}c2`` (usable in ``quota_sql``)."""
+    p = prefix
     st = ", ".join(strata)
     stc = (st + ", ") if strata else ""
     part = f"PARTITION BY {st}" if strata else ""
+    on = " AND ".join(f"a.{s} IS NOT DISTINCT FROM q.{s}" for s in strata)
+    on = (on + " AND ") if strata else ""
+    rn_part = ", ".join(f"q.{s}" for s in strata)
+    rn_part = (rn_part + ", ") if strata else ""
     return f"""
-, qb AS (SELECT *, md5(CAST({key} AS VARCHAR) || '{seed}') AS _h FROM {src}),
-qc AS (SELECT *, CAST(('0x' || substr(_h, 1, 8)) AS BIGINT) % {buckets} AS _bucket FROM qb),
-cells AS (SELECT {stc}_bucket, count(*) AS _cell_n FROM qc GROUP BY ALL),
-c2 AS (SELECT *, sum(_cell_n) OVER ({part}) AS _stratum_n FROM cells),
-c3 AS (SELECT *, {quota_sql} AS _quota FROM c2),
-c4 AS (SELECT *, floor(_quota * _cell_n / _stratum_n) AS _floor,
-              _quota * _cell_n / _stratum_n - floor(_quota * _cell_n / _stratum_n) AS _rem FROM c3),
-c5 AS (SELECT *, _quota - sum(_floor) OVER ({part}) AS _left,
-              row_number() OVER ({part} ORDER BY _rem DESC, _bucket) AS _rr FROM c4),
-alloc AS (SELECT {stc}_bucket, CAST(_floor + CASE WHEN _rr <= _left THEN 1 ELSE 0 END AS BIGINT) AS _cell_quota FROM c5),
-sampled AS (SELECT qc.*, row_number() OVER (PARTITION BY {', '.join('qc.' + s for s in strata) + ', ' if strata else ''}qc._bucket ORDER BY qc._h, qc.{key})
+, {p}qb AS (SELECT *, md5(CAST({key} AS VARCHAR) || '{seed}') AS _h FROM {src}),
+{p}qc AS (SELECT *, CAST(('0x' || substr(_h, 1, 8)) AS BIGINT) % {buckets} AS _bucket FROM {p}qb),
+{p}cells AS (SELECT {stc}_bucket, count(*) AS _cell_n FROM {p}qc GROUP BY ALL),
+{p}c2 AS (SELECT *, sum(_cell_n) OVER ({part}) AS _stratum_n FROM {p}cells),
+{p}c3 AS (SELECT *, {quota_sql.replace("c2.", p + "c2.")} AS _quota FROM {p}c2),
+{p}c4 AS (SELECT *, floor(_quota * _cell_n / _stratum_n) AS _floor,
+              _quota * _cell_n / _stratum_n - floor(_quota * _cell_n / _stratum_n) AS _rem FROM {p}c3),
+{p}c5 AS (SELECT *, _quota - sum(_floor) OVER ({part}) AS _left,
+              row_number() OVER ({part} ORDER BY _rem DESC, _bucket) AS _rr FROM {p}c4),
+{p}alloc AS (SELECT {stc}_bucket, CAST(_floor + CASE WHEN _rr <= _left THEN 1 ELSE 0 END AS BIGINT) AS _cell_quota
+             FROM {p}c5),
+{p}sampled AS (SELECT q.*, row_number() OVER (PARTITION BY {rn_part}q._bucket ORDER BY q._h, q.{key})
                  <= coalesce(a._cell_quota, 0) AS {flag}
-            FROM qc LEFT JOIN alloc a ON {' AND '.join(f'a.{s} IS NOT DISTINCT FROM qc.{s}' for s in strata) + ' AND ' if strata else ''}a._bucket = qc._bucket)
+            FROM {p}qc q LEFT JOIN {p}alloc a ON {on}a._bucket = q._bucket)
 """
 
 
@@ -304,3 +312,41 @@ def split_label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = split_df(spark, sf_dir)
     return P.union_distinct(s.filter("split = 'train'").select("target_3"),
                             s.filter("split = 'test'").select("target_3"))
+
+
+@register("domain_class_table_top10", LABELLED + """
+, c AS (SELECT from_email_domain, count_if(target_1 = 'benign') AS benign,
+               count_if(target_1 = 'malicious') AS malicious FROM labelled
+        WHERE from_email_domain IS NOT NULL GROUP BY from_email_domain)
+SELECT *, benign + malicious AS total FROM c ORDER BY malicious DESC, from_email_domain LIMIT 10
+""", ops=("A9", "A3", "O2"))
+def domain_class_table_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails per (sender domain, class) reshaped wide with a total, the 10
+    domains with most malicious mail."""
+    lab = labelled(spark, sf_dir).filter(F.col("from_email_domain").isNotNull())
+    ct = P.crosstab(lab, "from_email_domain", "target_1", TARGET_1_LEVELS)
+    ct = ct.select("from_email_domain", *[F.col(c).cast("long").alias(c) for c in TARGET_1_LEVELS])
+    return (ct.withColumn("total", F.col("benign") + F.col("malicious"))
+            .orderBy(F.col("malicious").desc(), "from_email_domain").limit(10))
+
+
+@register("plain_and_stratified_splits", LABELLED
+          + _duck_quota_sample("labelled", [], "path", "round(0.3 * _stratum_n)", flag="_test", prefix="p_")
+          + _duck_quota_sample("labelled", ["target_1"], "path", "round(0.2 * _stratum_n)", seed="7",
+                               flag="_test", prefix="s_") + """
+SELECT 'plain_70_30' AS scheme, CASE WHEN _test THEN 'test' ELSE 'train' END AS split,
+       CAST(NULL AS VARCHAR) AS target_1, count(*) AS n FROM p_sampled GROUP BY ALL
+UNION ALL
+SELECT 'stratified_80_20', CASE WHEN _test THEN 'test' ELSE 'train' END, target_1, count(*)
+FROM s_sampled GROUP BY ALL
+""", ops=("D3", "D1"))
+def plain_and_stratified_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain 70/30 split and an 80/20 split stratified on the class: rows per part."""
+    lab = labelled(spark, sf_dir)
+    plain = SM.stratified_split(lab, [], 0.3, "path")
+    strat = SM.stratified_split(lab, ["target_1"], 0.2, "path", seed="7")
+    a = plain.groupBy(F.lit("plain_70_30").alias("scheme"), "split",
+                      F.lit(None).cast("string").alias("target_1")).agg(F.count(F.lit(1)).alias("n"))
+    b = strat.groupBy(F.lit("stratified_80_20").alias("scheme"), "split", "target_1").agg(
+        F.count(F.lit(1)).alias("n"))
+    return a.unionByName(b)

@@ -106,6 +106,39 @@ def lang_share(segments: DataFrame, min_segment_words: int = 5, min_language_wor
                   / F.sum("words")).alias("english_french_proportion")))
 
 
+# Frequent function words used to vote on the language of a line.
+STOP_WORDS = {
+    "en": ("the", "and", "of", "to", "is", "in", "that", "it", "with", "for", "this", "are", "by", "on"),
+    "fr": ("le", "la", "les", "des", "et", "est", "un", "une", "du", "dans", "que", "qui", "pour", "sur"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "den", "von", "zu", "auf", "für"),
+    "es": ("el", "los", "las", "y", "es", "una", "del", "que", "en", "por", "con", "para", "se", "al"),
+}
+LANG_ORDER = ("en", "fr", "de", "es")
+
+
+def stop_word_table(spark: SparkSession) -> DataFrame:
+    """(lang, word, priority) rows of the voting lists (fixed size, broadcast)."""
+    rows = [(lang, w, LANG_ORDER.index(lang)) for lang in LANG_ORDER for w in STOP_WORDS[lang]]
+    return spark.createDataFrame(rows, "lang string, word string, priority int")
+
+
+def language_segments(spark: SparkSession, mails: DataFrame, text: str = "text_plain") -> DataFrame:
+    """C10 (re-aimed): every line of every text is a segment; its language is
+    the list with most stop-word hits (ties -> en, fr, de, es) and its size
+    the number of letter tokens.  Lines without a hit get no language."""
+    lines = mails.select("path", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+                         .alias("line_no", "line"))
+    toks = lines.select("path", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(r"\p{L}+"), 0)
+                        .alias("tokens"))
+    words = toks.select("path", "line_no", F.size("tokens").alias("words"))
+    hits = (toks.select("path", "line_no", F.explode("tokens").alias("word"))
+            .join(F.broadcast(stop_word_table(spark)), "word")
+            .groupBy("path", "line_no", "lang", "priority").agg(F.count(F.lit(1)).alias("hits")))
+    best = hits.groupBy("path", "line_no").agg(
+        F.min_by("lang", F.struct(-F.col("hits"), F.col("priority"))).alias("lang"))
+    return best.join(words, ["path", "line_no"]).select("path", "lang", "words")
+
+
 FEATURE_COLUMNS = [
     "subject", "url_present_in_subject", "routing_length_before_ubc",
     "dmarc_authentication_present", "dkim_sender_domains_match", "to_from_addresses_match",

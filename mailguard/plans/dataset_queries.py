@@ -297,3 +297,22 @@ def legacy_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = IO.scratch_path(spark, "scorer-output")
     IO.write_scorer_output(out, path)
     return IO.read_scorer_output(spark, path)
+
+
+@register("metrics_csv_report", FX.duck_emails_cte("scores") + """
+, preds AS (SELECT *, CASE WHEN 1.0 - p_malicious > 0.7 THEN 'benign' ELSE 'malicious' END AS pred FROM scores)
+SELECT CAST(count_if(target_1 = 'benign' AND pred = 'benign') AS VARCHAR) AS benign_as_benign,
+       CAST(count_if(target_1 = 'benign' AND pred = 'malicious') AS VARCHAR) AS benign_as_malicious,
+       CAST(count_if(target_1 = 'malicious' AND pred = 'benign') AS VARCHAR) AS malicious_as_benign,
+       CAST(count_if(target_1 = 'malicious' AND pred = 'malicious') AS VARCHAR) AS malicious_as_malicious
+FROM preds
+""", ops=("IO8", "M18"))
+def metrics_csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion table written as a one-file CSV report in the shared folder
+    and read back (all columns as text, as a CSV reader sees them)."""
+    from mailguard.operators import metrics as M
+    sc = FX.scores(spark, FX.emails(spark, sf_dir))
+    cm = M.confusion(sc.withColumn("pred", M.decide(1.0 - F.col("p_malicious"), 0.7)), "target_1", "pred")
+    path = IO.scratch_path(spark, "report")
+    IO.write_csv_report(cm, path)
+    return spark.read.option("header", True).csv(path)

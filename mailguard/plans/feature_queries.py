@@ -338,3 +338,48 @@ def english_french_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mails.select("path").join(share, "path", "left")
             .select("path", F.coalesce("english_french_proportion", F.lit(0.0))
                     .alias("english_french_proportion")))
+
+
+def _duck_stop_words() -> str:
+    rows = ", ".join(f"({D.q(lang)}, {D.q(w)}, {FE.LANG_ORDER.index(lang)})"
+                     for lang in FE.LANG_ORDER for w in FE.STOP_WORDS[lang])
+    return f"(VALUES {rows}) AS sw(lang, word, priority)"
+
+
+@register("language_segments_share", FX.duck_emails_cte() + f"""
+, ln AS (SELECT path, generate_subscripts(string_split(coalesce(text_plain, ''), chr(10)), 1) AS line_no,
+                unnest(string_split(coalesce(text_plain, ''), chr(10))) AS line FROM emails),
+tk AS (SELECT path, line_no, regexp_extract_all(lower(line), '\\p{{L}}+') AS tokens FROM ln),
+w AS (SELECT path, line_no, len(tokens) AS words FROM tk),
+h AS (SELECT t.path, t.line_no, sw.lang, sw.priority, count(*) AS hits
+      FROM (SELECT path, line_no, unnest(tokens) AS word FROM tk) t JOIN {_duck_stop_words()} ON sw.word = t.word
+      GROUP BY ALL),
+best AS (SELECT path, line_no, arg_min(lang, (-hits, priority)) AS lang FROM h GROUP BY path, line_no),
+seg AS (SELECT b.path, b.lang, w.words FROM best b JOIN w USING (path, line_no)),
+share AS (SELECT path, sum(CASE WHEN lang IN ('en', 'fr') THEN words ELSE 0 END) / sum(words) AS s
+          FROM (SELECT path, lang, sum(words) AS words FROM seg WHERE words > 5 GROUP BY path, lang
+                HAVING sum(words) > 10) t GROUP BY path)
+SELECT e.path, coalesce(share.s, 0.0) AS english_french_proportion,
+  (SELECT count(*) FROM seg WHERE seg.path = e.path) AS n_segments
+FROM emails e LEFT JOIN share ON share.path = e.path
+""", ops=("C10", "C9"))
+def language_segments_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English+French share of every body from line segments labelled by a
+    stop-word vote (the segmenter feeding C9)."""
+    mails = FX.emails(spark, sf_dir)
+    seg = FE.language_segments(spark, mails)
+    share = FE.lang_share(seg)
+    nseg = seg.groupBy("path").agg(F.count(F.lit(1)).alias("n_segments"))
+    return (mails.select("path").join(share, "path", "left").join(nseg, "path", "left")
+            .select("path", F.coalesce("english_french_proportion", F.lit(0.0)).alias("english_french_proportion"),
+                    F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments")))
+
+
+@register("html_visible_text", FX.duck_emails_cte() + f"""
+SELECT path, {D.html_to_text('text_html')} AS visible_text FROM emails WHERE text_html IS NOT NULL
+""", ops=("P6",))
+def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every HTML body (script, style and comments removed,
+    tags dropped, basic entities decoded)."""
+    return (FX.emails(spark, sf_dir).filter(F.col("text_html").isNotNull())
+            .select("path", C.html_to_text("text_html").alias("visible_text")))

@@ -20,13 +20,16 @@ def corpus(spark: SparkSession, sf_dir: str, make_zip: bool = False) -> str:
     later queries reuse the finished corpus instead of rewriting it."""
     import hashlib
     import os
+
+    from pyarrow import fs as pafs
     key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|zip={make_zip}".encode()).hexdigest()[:16]
     root = f"{IO.checkpoint_dir(spark).rstrip('/')}/corpus-{key}"
-    marker = f"{root}/_COMPLETE"
-    if not os.path.exists(marker):
+    fs, base = MM.shared_fs(root)
+    marker = f"{base}/_COMPLETE"
+    if fs.get_file_info(marker).type == pafs.FileType.NotFound:
         MM.write_messages(FX.emails(spark, sf_dir), root, make_zip=make_zip)
-        with open(marker, "w") as f:
-            f.write("ok")
+        with fs.open_output_stream(marker) as f:
+            f.write(b"ok")
     return root
 
 

@@ -4,7 +4,7 @@ Documents become (doc, term) rows; every statistic is a grouped aggregate
 over those rows.  Per-document windows (TF-IDF norm, top keywords) are
 bounded by one document's length.  Joins against the term table are keyed on
 the term: very frequent terms are hot keys, which AQE's skew-join handling
-splits; a vocabulary cut by ``max_features`` is small enough to broadcast.
+splits, and AQE broadcasts a term table whose measured size is small.
 """
 
 from __future__ import annotations

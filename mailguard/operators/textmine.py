@@ -31,7 +31,7 @@ def vocabulary(df: DataFrame, doc: str, tokens: str, min_df: float, max_df: floa
     """Terms with min_df <= df <= max_df (fractions of the document
     count), keeping the ``max_features`` most frequent by corpus count
     (ties -> term order), like the reference vectoriser."""
-    n_docs = df.count()
+    n_docs = df.select(doc).count()  # key column only: tokenisation is pruned away
     d = document_frequency(df, doc, tokens)
     lo = min_df if min_df >= 1 and isinstance(min_df, int) else min_df * n_docs
     hi = max_df if max_df > 1 and isinstance(max_df, int) else max_df * n_docs
@@ -101,7 +101,7 @@ def npmi_coherence(df: DataFrame, doc: str, tokens: str, topics: DataFrame) -> D
     per-document pair rows are bounded by that handful squared.  A pair that
     never co-occurs scores -1.
     """
-    n_docs = df.count()
+    n_docs = df.select(doc).count()
     present = df.select(doc, F.explode(F.array_distinct(tokens)).alias("term"))
     hits = present.join(F.broadcast(topics), "term")  # topics: small, fixed size
     p1 = hits.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("d1"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailguard.llm import bpe, packing
+from mailguard.llm import bpe, packing, quality, simhash, suffix_dedup, toxicity
 from mailguard.llm.common import table
+from mailguard.llm.labelled import fold
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +23,36 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "sequence_id", "offset"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without every 200-byte string that starts more than once."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=200)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents: 3-word shingles, at most 3 differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by the recurrent network, fitted on the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.train(docs, labels, keep=fold("doc_id", 5) != 0)
+    return (toxicity.score_documents(docs, net)
+            .select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by hashed n-gram logistic regression, fitted on the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.train(docs, labels, keep=fold("doc_id", 4) != 2)
+    return (quality.score_documents(docs, weights)
+            .select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+                    (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     return (bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -31,6 +62,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 

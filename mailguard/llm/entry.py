@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailguard.llm import bpe, packing, quality, simhash, suffix_dedup, toxicity
+from mailguard.llm import (
+    bpe,
+    embedding_dedup,
+    packing,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+    url_filter,
+)
 from mailguard.llm.common import table
 from mailguard.llm.labelled import fold
 
@@ -16,6 +27,52 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The rules of the contract, and the sites whose pages stand in for a list of URLs.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/"))
+LISTED_SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+
+
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in input ``url``: the addresses of pages on the listed sites."""
+    site = "://(www\\.|m\\.|blog\\.)?(" + "|".join(LISTED_SITES) + ")\\."
+    return table(spark, sf_dir, "pages").where(F.col("url").rlike(site)).select("url")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the longest fitting rule, else the list of URLs."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), listed_urls(spark, sf_dir), URL_RULES).drop("listed")
+
+
+OP1_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), q AS (
+  SELECT page_id, url,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), c AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+                                    || regexp_replace(path, '/+$', '') END AS key
+  FROM q
+), listed AS (
+  SELECT DISTINCT key FROM c WHERE regexp_matches(url, '://(www\.|m\.|blog\.)?({"|".join(LISTED_SITES)})\.')
+), rules(rule, own, prefix, verdict) AS (
+  VALUES {", ".join(f"('{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}', '{v}')" for v, r in URL_RULES)}
+), fit AS (
+  SELECT c.page_id, c.host, c.path, c.key, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS v
+  FROM c LEFT JOIN rules r
+    ON (c.host = r.own OR ends_with(c.host, '.' || r.own)) AND starts_with(c.path, r.prefix)
+  GROUP BY ALL
+)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fit
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost-balanced packing of all documents into sequences of at most 2048 tokens."""
     return (packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -23,6 +80,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "sequence_id", "offset"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents without every 200-byte string that starts more than once."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=200)
@@ -30,6 +92,44 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base kinds, and all spans."""
+    found = pii.find_documents(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every row whose id is divisible by 50, over all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, at most 3 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
@@ -61,12 +161,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_pii": op5_pii,
+    "op6_topk": op6_topk,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_topk": OP6_SQL}

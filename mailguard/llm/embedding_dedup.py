@@ -5,10 +5,10 @@ their product grid has a cell for each pair of codewords, and every vector is
 indexed in its cell.  For each vector the multi-sequence traversal visits cells
 in ascending order of a lower bound of the distance to anything in them (the
 sum of the halves' bounds, each the larger of the distance to the codewords'
-bisector and the distance to the codeword less the cell's radius).  It stops
-when the bound exceeds the radius that the cosine threshold allows, where the
-recall is 1: no unvisited cell can hold a link.  Candidates are verified by
-their cosine in double precision.
+bisector and the distance to the codeword less the cell's radius).  Where it
+stops is measured: some query vectors are compared with all rows by brute
+force, and the limit is the bound up to which the target recall of their links
+is reached.  Candidates are verified by their cosine in double precision.
 
 Equal vectors are one class with a weight.  The vectors that meet in a cell are
 compared in blocks of bounded size, which give link counts and a spanning
@@ -29,6 +29,9 @@ from mailguard.llm.common import connected_components, cut
 
 SAMPLE = 16_384     # vectors that codebooks are fitted on, at most
 BLOCK = 1024        # rows of one side of a comparison
+QUERIES = 512       # vectors that the recall is measured with, against all rows
+BINS = 4096
+LEAST_CELLS = 4     # nearest cells visited whatever the measured limit
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -60,12 +63,12 @@ def bounds(x: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> tuple[np.nd
     return own, np.maximum(low - 1e-7, 0) ** 2
 
 
-def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Cells (i, j) in ascending ``a[i] + b[j]`` up to ``limit``."""
+def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float, least: int = 1) -> list[tuple[int, int]]:
+    """Cells (i, j) in ascending ``a[i] + b[j]`` up to ``limit``, but ``least`` cells at the fewest."""
     oa, ob = a.argsort(kind="stable"), b.argsort(kind="stable")
     sa, sb = a[oa].tolist(), b[ob].tolist()
     heap, out = [(sa[0] + sb[0], 0, 0)], []
-    while heap and heap[0][0] <= limit:
+    while heap and (heap[0][0] <= limit or len(out) < least):
         _, i, j = heapq.heappop(heap)
         out.append((int(oa[i]), int(ob[j])))
         if j + 1 < len(sb):
@@ -98,15 +101,16 @@ def classes_of(rows: DataFrame) -> DataFrame:
                        F.transform("v", lambda x: x / F.col("norm")).alias("unit")))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = SAMPLE, occupancy: int = 16,
-                    block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = SAMPLE, occupancy: int = 8,
+                    block: int = BLOCK, target_recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id_col, n_links, component_id, kept`` per row.
 
     ``n_links`` counts the other rows with cosine >= ``threshold``,
     ``component_id`` is the smallest id reachable by links, ``kept`` says that
     it is the row's own.  Every row is indexed; ``sample`` bounds only what the
     codebooks are fitted on, ``occupancy`` is the wanted number of vectors a
-    cell.  Vectors that are null, empty, zero or hold null or non-finite
+    cell and ``target_recall`` that of the links found (1: every cell that can
+    hold one is visited).  Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing; neither do vectors of different length, nor
     rows with a null id (no links, component null, kept false).  Rows that repeat an id
     link like any others.  An empty table gives no rows; other columns are
@@ -119,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
         raise ValueError("over 1000 different vector lengths")
     found = rows.sparkSession.createDataFrame([], "a long, b long, n long")
     for d in dims:
-        found = found.union(_links(classes.where(F.size("unit") == d), d, threshold, sample, occupancy, block))
+        found = found.union(_links(classes.where(F.size("unit") == d), d, threshold, sample, occupancy, block, target_recall))
     found = cut(found)
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     comp = connected_components(found.where("b is not null").select("a", "b"))
@@ -135,7 +139,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
                     F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
-def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupancy: int, block: int) -> DataFrame:
+def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupancy: int, block: int,
+           target_recall: float) -> DataFrame:
     """``a, b, n``: rows (class, null, number of linked rows) and forest edges (class, class, 0)."""
     sc = classes.sparkSession.sparkContext
     total = classes.count()
@@ -164,6 +169,9 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
     for i, j, r in tops.collect():       # two rows for each codeword
         reach[i][j] = r
     reach_b = sc.broadcast(reach)
+    if target_recall < 1:
+        asked = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(QUERIES).select("unit").toArrow()
+        limit = _measured_limit(classes, _matrix(asked.column(0).combine_chunks(), dim), books, reach_b, threshold, limit, target_recall)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (c1, c2), (r1, r2) = books.value, reach_b.value
@@ -176,7 +184,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
                 rows, cells, homes = [], [], []
                 for i in range(len(x)):
                     home = int(own1[i]) * k + int(own2[i])
-                    for p, q in multi_sequence(low1[i], low2[i], limit):
+                    for p, q in multi_sequence(low1[i], low2[i], limit, LEAST_CELLS):
                         if p * k + q >= home:        # each pair of cells is met from the lower one
                             rows.append(i)
                             cells.append(p * k + q)
@@ -200,6 +208,34 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
             .mapInArrow(_verify(dim, threshold), "a long, b long, n long"))
 
 
+def _measured_limit(classes: DataFrame, asked: np.ndarray, books, reach, threshold: float, limit: float, target: float) -> float:
+    """Bound up to which ``target`` of the links of the vectors ``asked`` lie, measured against all rows.
+
+    Without any link among them it is a quarter of ``limit``.
+    """
+    dim, half = asked.shape[1], asked.shape[1] // 2
+    held = classes.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (c1, c2), (r1, r2), q = books.value, reach.value, held.value
+        low1, low2 = bounds(q[:, :half], c1, r1)[1], bounds(q[:, half:], c2, r2)[1]
+        total = np.zeros(BINS, np.int64)
+        for b in batches:
+            x = _matrix(b.column(0), dim)
+            i, j = np.nonzero((q @ x.T >= threshold) & (q @ x.T < 1 - 1e-12))
+            low = low1[i, _squares(x[:, :half], c1).argmin(1)[j]] + low2[i, _squares(x[:, half:], c2).argmin(1)[j]]
+            total += np.bincount(np.minimum(np.ceil(low / limit * (BINS - 1)), BINS - 1).astype(int), minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(total)], names=["bin", "n"])
+
+    rows = (classes.select("unit").mapInArrow(run, "bin long, n long").where("n > 0").groupBy("bin").agg(F.sum("n").alias("n"))
+            .orderBy("bin").collect())      # at most BINS rows
+    if not rows:
+        return limit / 4
+    upto = np.cumsum([r["n"] for r in rows])
+    at = rows[int(np.searchsorted(upto, target * upto[-1]))]["bin"]
+    return min(limit, 1.5 * limit * (at + 1) / (BINS - 1))
+
+
 def _verify(dim: int, threshold: float):
     """mapInArrow over rows sorted by (cell, x, y): link counts and forest edges of every block pair."""
 

@@ -44,7 +44,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), listed_urls(spark, sf_dir), URL_RULES).drop("listed")
 
 
-OP1_SQL = f"""
+OP1_SQL = rf"""
 WITH p AS (
   SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
   FROM pages

@@ -24,12 +24,13 @@ about two anchors per end of a repeated run in the last round.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailguard.llm.common import cut, slices
 from mailguard.llm.hashing import _VALUES, BASE, Spans, mix
@@ -239,9 +240,9 @@ def repeated_spans(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_000, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per row: ``id_col``, ``n_bytes``, ``spans`` (start and end of removed runs, in bytes),
-    ``kept`` (binary, the remaining bytes).
+    ``kept`` (binary, the remaining bytes); with ``carry`` also ``carried``, a struct of those columns.
 
     A byte goes if a ``threshold``-byte string covering it also starts at
     another place of the same or another text, judged on the input.  Matches
@@ -250,11 +251,17 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_
     they lose everything if long enough); rows with a null id are kept apart
     by their text; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs, threshold, hot_strings)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"),
+                       *([F.struct(*carry).alias("carried")] if carry else []))
+    extra = docs.columns[3:]
+    spans = repeated_spans(docs.select("id", "th", "text"), threshold, hot_strings)
     lists = spans.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     both = docs.join(lists, (docs["id"].eqNullSafe(lists["id"])) & (docs["th"] == lists["th"]), "left").select(
-        docs["id"], "text", "spans")
+        docs["id"], "text", "spans", *extra)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
+                                                                            T.StructField("end", T.LongType())]))),
+                           T.StructField("kept", T.BinaryType()), *(docs.schema[c] for c in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -271,10 +278,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_
                 runs.append([{"start": s, "end": e} for s, e in merged])
                 kept.append(b"".join([*parts, raw[at:]]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind),
-                                              pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+                                              pa.array(kept, pa.binary()), *b.columns[3:]], names=schema.names)
 
-    return (both.mapInArrow(run, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-            .withColumnRenamed("id", id_col))
+    return both.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def brute_force(texts: list[str | None], threshold: int = 200) -> list[tuple[int, list[tuple[int, int]], str]]:

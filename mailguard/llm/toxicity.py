@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailguard.llm.common import slices
 from mailguard.llm.hashing import CLASSES, LETTER, Spans, join, mix, tokens
@@ -262,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``id_col`` plus ``score`` (0 to 1) of every row's whole text; no shuffle.
+    """``id_col`` (of any type) and ``score`` (0 to 1) of every row's whole text; no shuffle.
 
     The network is broadcast (fixed size).  Null counts as empty; empty texts
     and texts without letters score as an empty window; repeated rows repeat;
@@ -276,5 +277,5 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.scores(b.column(1).to_pylist()))],
                                              names=["id", "score"])
 
-    kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    schema = T.StructType([d.schema["id"], T.StructField("score", T.DoubleType())])
+    return d.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailguard.llm.common import slices
+from mailguard.llm.common import slices, small_batches
 
 # The tokenizer's white space is Python's without the four separators U+001C to U+001F.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -38,6 +38,8 @@ _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 # through the tokenizer's own normalizer and pre-tokenizer.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 _WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+NO_ID = 0xFFFFFFFF       # above every vocabulary id
+PIECE_END = NO_ID.to_bytes(4, "little")
 MEMO_PIECES = 500_000   # pieces whose ids a worker keeps; a memory bound, not a result bound
 
 
@@ -169,25 +171,24 @@ class PairIndexBpe:
         if len(self.memo) + len(fresh) > MEMO_PIECES:
             self.memo = dict(self.fixed)
             fresh = [p for p in pieces if p not in self.memo]
-        words: dict[str, int] = {}
-        split: list[list[int]] = []
-        plain = [p for p in fresh if _PLAIN.fullmatch(p)]
-        own: list[int] = []
-        for w in _WORDS.findall("\n".join(plain).lower() + "\n" * bool(plain)):
-            if w == "\n":
-                split.append(own)
-                own = []
-            else:
-                own.append(words.setdefault(w, len(words)))
-        raw = [w.encode() for w in words]
-        other: dict[bytes, int] = {w: i for i, w in enumerate(raw)}
-        rest = [p for p in fresh if not _PLAIN.fullmatch(p)]
-        for p in rest:
-            split.append([other.setdefault(bytes([self.byte_of[c] for c in w]), len(other))
-                          for w, _ in self.pre(self.normalize(p))])
-        fresh = plain + rest
-        ids = self.merge_words(list(other))
-        for p, own in zip(fresh, split, strict=True):
+        plain, rest = [], []
+        for p in fresh:
+            (plain if p.isascii() and p.isprintable() or _PLAIN.fullmatch(p) else rest).append(p)
+        found = _WORDS.findall("\n".join(plain).lower() + "\n") if plain else []   # a line feed ends each piece
+        words = dict.fromkeys(found)
+        words.pop("\n", None)
+        index = {w.encode(): i for i, w in enumerate(words)}
+        split = [[index.setdefault(bytes([self.byte_of[c] for c in w]), len(index))
+                  for w, _ in self.pre(self.normalize(p))] for p in rest]
+        ids = self.merge_words(list(index))
+        of = dict(zip(words, ids, strict=False)) | {"\n": PIECE_END}
+        joined = b"".join([of[w] for w in found])
+        ends = np.flatnonzero(np.frombuffer(joined, "<u4") == NO_ID) * 4
+        start = 0
+        for p, end in zip(plain, ends.tolist(), strict=True):
+            self.memo[p] = joined[start:end]
+            start = end + 4
+        for p, own in zip(rest, split, strict=True):
             self.memo[p] = b"".join([ids[i] for i in own])
 
     def pieces(self, text: str) -> list[str]:
@@ -242,7 +243,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     repeated results; other columns are ignored whatever their names.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    d = small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     id_type = d.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,10 +25,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ARROW_BYTES = 4 << 20    # of an Arrow batch sent to a Python worker; a longer row stays whole
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to Arrow batches of at most ``ARROW_BYTES``; a user's own setting stays.
+
+    The default is a number of rows, whose texts can fill many times that on both sides.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if key not in conf.getAll:
+        conf.set(key, str(ARROW_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: idle workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``text`` holds at most about ``max_bytes`` bytes.
 
-    A single longer text stays whole, in a slice of its own.
+    A single longer text stays whole, in a slice of its own.  Freed memory goes
+    back to the system after the last slice.
     """
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
@@ -40,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             held += int(n)
         if start < len(sizes):
             yield batch.slice(start)
+    give_back()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

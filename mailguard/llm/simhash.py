@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailguard.llm.common import connected_components, cut, slices
+from mailguard.llm.common import connected_components, cut, slices, small_batches
 
 BITS = 64
 BROADCAST_KEYS = 100_000   # hot keys (8 bytes and a count each) that may be broadcast; more are joined by shuffle
@@ -46,7 +46,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42, block: int = 1 << 1
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``fp`` (the 64 bits as a signed long) per row; no shuffle."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailguard.llm.common import cut, slices
+from mailguard.llm.common import cut, slices, small_batches
 from mailguard.llm.hashing import _VALUES, BASE, Spans, mix
 
 SEED = 32            # bytes of the first ranks that leave a task
@@ -203,7 +203,7 @@ def _merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, threshold: int = 200, hot_strings: int = 4_000) -> DataFrame:
     """``id, th, start, end``: spans that cover exactly the repeated bytes (they may overlap).
 
     ``docs``: ``id``, ``th`` (hash of the text) and ``text``; rows with equal
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_
     return settled.union(cold).union(warm)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_000, id_col: str = "doc_id",
+def remove_repeats(docs: DataFrame, threshold: int = 200, hot_strings: int = 4_000, id_col: str = "doc_id",
                    text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per row: ``id_col``, ``n_bytes``, ``spans`` (start and end of removed runs, in bytes),
     ``kept`` (binary, the remaining bytes); with ``carry`` also ``carried``, a struct of those columns.
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, hot_strings: int = 20_
     they lose everything if long enough); rows with a null id are kept apart
     by their text; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"),
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"),
                        *([F.struct(*carry).alias("carried")] if carry else []))
     extra = docs.columns[3:]
     spans = repeated_spans(docs.select("id", "th", "text"), threshold, hot_strings)

@@ -214,7 +214,9 @@ def repeated_spans(docs: DataFrame, threshold: int = 200, hot_strings: int = 4_0
     rows = _anchor_rows(docs, threshold)
     names = (rows.groupBy("name").agg(F.count("*").alias("n"), F.min("string").alias("low"), F.max("string").alias("high"))
              .where("n > 1").select("name", (F.col("low") == F.col("high")).alias("same")))
-    again = cut(rows.join(names, "name"))
+    # On the flipped name both sides are shuffled for the join alone, so Spark can split a hot name's rows.
+    flipped = names.select(F.bitwise_not("name").alias("flip"), "same")
+    again = cut(rows.join(flipped, F.bitwise_not(rows["name"]) == flipped["flip"]).drop("flip"))
     mixed = again.where("not same")
     strings = (mixed.groupBy("name", "string")
                .agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "place")).alias("one")))

@@ -10,7 +10,8 @@ and pre-tokenizer, and all new words of the batch are merged together:
 * the active pairs are applied in ascending rank, each at all its positions at
   once, and the lists of the pairs that a merge creates are updated.
 
-Merging never crosses a word, so the batch result equals word-by-word BPE.
+Merging never crosses a word, so the batch result equals word-by-word BPE, and
+words that an earlier batch has merged are not merged again.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ _WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 NO_ID = 0xFFFFFFFF       # above every vocabulary id
 PIECE_END = NO_ID.to_bytes(4, "little")
 MEMO_PIECES = 500_000   # pieces whose ids a worker keeps; a memory bound, not a result bound
+MEMO_WORDS = 200_000    # words whose ids a worker keeps; likewise
 
 
 def byte_symbols() -> dict[str, int]:
@@ -82,6 +85,7 @@ class PairIndexBpe:
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
         self.memo: dict[str, bytes] = dict(self.fixed)
+        self.words: dict[str, bytes] = {"\n": PIECE_END}
         self.check_pattern(model)
 
     def check_pattern(self, model: dict) -> None:
@@ -175,14 +179,13 @@ class PairIndexBpe:
         for p in fresh:
             (plain if p.isascii() and p.isprintable() or _PLAIN.fullmatch(p) else rest).append(p)
         found = _WORDS.findall("\n".join(plain).lower() + "\n") if plain else []   # a line feed ends each piece
-        words = dict.fromkeys(found)
-        words.pop("\n", None)
-        index = {w.encode(): i for i, w in enumerate(words)}
-        split = [[index.setdefault(bytes([self.byte_of[c] for c in w]), len(index))
-                  for w, _ in self.pre(self.normalize(p))] for p in rest]
-        ids = self.merge_words(list(index))
-        of = dict(zip(words, ids, strict=False)) | {"\n": PIECE_END}
-        joined = b"".join([of[w] for w in found])
+        split = [[bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.pre(self.normalize(p))] for p in rest]
+        if len(self.words) > MEMO_WORDS:
+            self.words = {"\n": PIECE_END}
+        ids = self.words
+        words = [w for w in dict.fromkeys(chain(found, *split)) if w not in ids]
+        ids.update(zip(words, self.merge_words([w.encode() for w in words]), strict=True))
+        joined = b"".join(map(ids.__getitem__, found))
         ends = np.flatnonzero(np.frombuffer(joined, "<u4") == NO_ID) * 4
         start = 0
         for p, end in zip(plain, ends.tolist(), strict=True):
@@ -208,7 +211,7 @@ class PairIndexBpe:
         self.learn(new)
         memo = self.memo
         for own in split:
-            yield b"".join([memo[p] for p in own])
+            yield b"".join(map(memo.__getitem__, own))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text: the tokens' strings joined by spaces (the file names no decoder)."""

@@ -30,7 +30,7 @@ SOLVER_BOUND = {"base_classifier_cv", "stack_four_way", "stack_final_estimators"
 def main(argv: list[str]) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), conf={"spark.driver.memory": "16g"})
     reg = load_all()
     ml = "--ml" in argv
     names = [n for n in argv if n in reg] or [n for n in reg if ml or n not in SOLVER_BOUND]

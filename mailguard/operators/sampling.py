@@ -26,43 +26,57 @@ def bucket_of(hkey: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(hkey, 1, 8), 16, 10).cast("long"), F.lit(buckets))
 
 
-def _largest_remainder(cells: DataFrame, strata: list[str], quota_col: str) -> DataFrame:
+CELL = ["_stratum", "_bucket"]
+
+
+def _largest_remainder(cells: DataFrame, quota_col: str) -> DataFrame:
     """Split each stratum's integer quota over its cells in proportion to
     cell size: floor shares plus one extra for the largest remainders
     (ties -> lower bucket)."""
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy()
+    w = Window.partitionBy("_stratum")
     share = F.col(quota_col) * F.col("_cell_n") / F.col("_stratum_n")
     c = (cells.withColumn("_stratum_n", F.sum("_cell_n").over(w))
          .withColumn("_floor", F.floor(share))
          .withColumn("_rem", share - F.col("_floor")))
-    rank_w = (Window.partitionBy(*strata) if strata else Window.partitionBy()).orderBy(
-        F.col("_rem").desc(), F.col("_bucket"))
+    rank_w = Window.partitionBy("_stratum").orderBy(F.col("_rem").desc(), F.col("_bucket"))
     c = c.withColumn("_left", F.col(quota_col) - F.sum("_floor").over(w))
     return c.withColumn("_cell_quota",
                         (F.col("_floor") + F.when(F.row_number().over(rank_w) <= F.col("_left"), 1)
                          .otherwise(0)).cast("long"))
 
 
+def _stratum(strata: list[str]) -> Column:
+    """The strata columns as one struct key: never null itself and equal to
+    itself in joins when a field is null, so null strata are strata too."""
+    return F.struct(F.lit(0).alias("_all"), *[F.col(c) for c in strata])
+
+
 def _cells(df: DataFrame, strata: list[str], key: str, seed: str, buckets: int) -> DataFrame:
-    return (df.withColumn("_h", order_key(key, seed))
-            .withColumn("_bucket", bucket_of(F.col("_h"), buckets)))
+    """``df`` with its stratum, hash key and bucket (rows without a key: bucket 0)."""
+    return (df.withColumn("_stratum", _stratum(strata))
+            .withColumn("_h", order_key(key, seed))
+            .withColumn("_bucket", F.coalesce(bucket_of(F.col("_h"), buckets), F.lit(0))))
+
+
+def _rank_in_cell(key: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*CELL).orderBy("_h", key))
 
 
 def quota_sample(df: DataFrame, strata: list[str], quota: Column, key: str, seed: str = "42",
                  buckets: int = DEFAULT_BUCKETS, flag: str = "_selected") -> DataFrame:
     """Flag exactly ``quota`` rows per stratum (``quota`` is an expression of
-    ``_stratum_n``, the stratum size).  Returns ``df`` plus a boolean ``flag``."""
+    ``_stratum_n``, the stratum size).  Returns ``df`` plus a boolean ``flag``.
+
+    The allocation is joined on the key the ranking window partitions by, so
+    the rows are shuffled once; AQE broadcasts it only at a measured size."""
     cells_df = _cells(df, strata, key, seed, buckets)
-    counts = cells_df.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_cell_n"))
-    sw = Window.partitionBy(*strata) if strata else Window.partitionBy()
+    counts = cells_df.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_cell_n"))
+    sw = Window.partitionBy("_stratum")
     counts = counts.withColumn("_stratum_n", F.sum("_cell_n").over(sw)).withColumn("_quota", quota)
-    alloc = _largest_remainder(counts.drop("_stratum_n"), strata, "_quota").select(
-        *strata, "_bucket", "_cell_quota")
-    rw = Window.partitionBy(*strata, "_bucket").orderBy("_h", key)
-    # The allocation table has strata x buckets rows, independent of data size.
-    out = (cells_df.join(F.broadcast(alloc), [*strata, "_bucket"], "left")
-           .withColumn(flag, F.row_number().over(rw) <= F.coalesce("_cell_quota", F.lit(0))))
-    return out.drop("_h", "_bucket", "_cell_quota")
+    alloc = _largest_remainder(counts.drop("_stratum_n"), "_quota").select(*CELL, "_cell_quota")
+    out = (cells_df.join(alloc, CELL, "left")
+           .withColumn(flag, _rank_in_cell(key) <= F.coalesce("_cell_quota", F.lit(0))))
+    return out.drop("_h", *CELL, "_cell_quota")
 
 
 def stratified_split(df: DataFrame, strata: list[str], test_size: float, key: str,
@@ -88,20 +102,14 @@ def stratified_sample_n(df: DataFrame, strata: list[str], n: int, key: str, seed
     order = Window.partitionBy().orderBy(F.col("_rem").desc(), *[F.col(c) for c in strata])
     st = st.withColumn("_stratum_quota", (F.col("_floor") + F.when(
         F.row_number().over(order) <= F.col("_left"), 1).otherwise(0)).cast("long"))
-    quotas = F.broadcast(st.select(*strata, "_stratum_quota"))
-    return _quota_from_column(df.join(quotas, strata, "left"), strata, key, seed, buckets)
-
-
-def _quota_from_column(df: DataFrame, strata: list[str], key: str, seed: str,
-                       buckets: int) -> DataFrame:
+    quotas = st.select(_stratum(strata).alias("_stratum"), "_stratum_quota")
     cells_df = _cells(df, strata, key, seed, buckets)
-    counts = cells_df.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_cell_n"),
-                                                      F.max("_stratum_quota").alias("_quota"))
-    alloc = _largest_remainder(counts, strata, "_quota").select(*strata, "_bucket", "_cell_quota")
-    rw = Window.partitionBy(*strata, "_bucket").orderBy("_h", key)
-    out = (cells_df.join(F.broadcast(alloc), [*strata, "_bucket"], "left")
-           .withColumn("_selected", F.row_number().over(rw) <= F.coalesce("_cell_quota", F.lit(0))))
-    return out.drop("_h", "_bucket", "_cell_quota", "_stratum_quota")
+    counts = (cells_df.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_cell_n"))
+              .join(quotas, "_stratum"))
+    alloc = _largest_remainder(counts, "_stratum_quota").select(*CELL, "_cell_quota")
+    out = (cells_df.join(alloc, CELL, "left")
+           .withColumn("_selected", _rank_in_cell(key) <= F.coalesce("_cell_quota", F.lit(0))))
+    return out.drop("_h", *CELL, "_cell_quota")
 
 
 def kfold(df: DataFrame, strata: list[str], k: int, key: str, seed: str = "42",
@@ -112,16 +120,14 @@ def kfold(df: DataFrame, strata: list[str], k: int, key: str, seed: str = "42",
     the stratum's earlier buckets, so it is exact without a stratum-wide window.
     """
     cells_df = _cells(df, strata, key, seed, buckets)
-    counts = cells_df.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_cell_n"))
-    ow = (Window.partitionBy(*strata) if strata else Window.partitionBy()).orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_cell_n").over(ow), F.lit(0)))
-    rw = Window.partitionBy(*strata, "_bucket").orderBy("_h", key)
-    out = (cells_df.join(F.broadcast(offsets.select(*strata, "_bucket", "_offset")),
-                         [*strata, "_bucket"], "left")
-           .withColumn("fold", F.pmod(F.row_number().over(rw) - 1 + F.col("_offset"), F.lit(k))
+    counts = cells_df.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_cell_n"))
+    ow = (Window.partitionBy("_stratum").orderBy("_bucket")
+          .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*CELL, F.coalesce(F.sum("_cell_n").over(ow), F.lit(0)).alias("_offset"))
+    out = (cells_df.join(offsets, CELL, "left")
+           .withColumn("fold", F.pmod(_rank_in_cell(key) - 1 + F.col("_offset"), F.lit(k))
                        .cast("int")))
-    return out.drop("_h", "_bucket", "_offset")
+    return out.drop("_h", *CELL, "_offset")
 
 
 def per_group_sample(df: DataFrame, group: str, n: int, key: str, seed: str = "42",

@@ -24,7 +24,7 @@ def event_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggregation over the events files (run to completion, update mode)."""
     path = table_path(sf_dir, "events")
     schema = spark.read.parquet(path).schema
-    stream = S.event_stream(spark, sf_dir, schema, glob="events.parquet")
+    stream = S.event_stream(spark, S.table_glob(path), schema)
     agg = S.windowed_counts(stream, "ts", "event_type", "1 hour", "2 hours")
     out = IO.scratch_path(spark, "event-counts")
     S.run_update_to_folder(agg, out, IO.scratch_path(spark, "event-counts-ckpt"))

@@ -12,12 +12,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "mailguard", conf: dict | None = None) -> SparkSession:
     """Session tuned for the library's jobs.
 
-    On a cluster the master and partition counts come from the submit
-    configuration; locally (tests, bench) we size them to the cores.
+    The master, the driver's memory and the partition counts come from the
+    submit configuration unless they are passed or set in ``MAILGUARD_MASTER``
+    and ``MAILGUARD_DRIVER_MEMORY``.
     """
-    master = master or os.environ.get("MAILGUARD_MASTER", "local[*]")
     builder = (
-        SparkSession.builder.master(master).appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # Call-site capture costs several JVM round trips per Column call.
@@ -30,8 +30,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # Parsing jobs hand Arrow batches to Python; keep them small so a
         # batch of large messages fits comfortably in worker memory.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        .config("spark.driver.memory", os.environ.get("MAILGUARD_DRIVER_MEMORY", "16g"))
     )
+    if master := master or os.environ.get("MAILGUARD_MASTER"):
+        builder = builder.master(master)
+    if memory := os.environ.get("MAILGUARD_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", memory)
     for k, v in (conf or {}).items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -44,11 +47,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set; only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir`` when set.  Where it is unset, a
+    local master (tests) gets a fresh scratch folder; a cluster, whose machines
+    do not share one, gets an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         current = tempfile.mkdtemp(prefix="mailguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     sc = spark.sparkContext

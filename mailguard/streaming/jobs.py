@@ -55,14 +55,23 @@ def latest_counts(spark: SparkSession, out_path: str, keys: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
 
 
-def event_stream(spark: SparkSession, folder: str, schema: T.StructType,
-                 files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
-    """Parquet file source over ``folder`` (optionally only files matching
-    ``glob``), ``files_per_trigger`` files per micro-batch."""
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(folder)
+def event_stream(spark: SparkSession, path: str, schema: T.StructType,
+                 files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet file source over the files that the glob ``path`` matches or holds.
+
+    Each micro-batch takes all files present.  ``files_per_trigger`` limits it,
+    but then the watermark moves between files: only set it where files arrive
+    in the order of their event times, or older files are late and dropped."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def table_glob(path: str) -> str:
+    """A glob that matches exactly ``path``.  The file source insists that a
+    plain path is a folder; a glob may match one file as well."""
+    return f"{path[:-1]}[{path[-1]}]"
 
 
 def score_stream(spark: SparkSession, incoming: DataFrame, model: PipelineModel, family: str,

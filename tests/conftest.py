@@ -11,7 +11,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from mailguard.session import build_session
-    s = build_session("local[*]", shuffle_partitions=8, app_name="mailguard-tests")
+    s = build_session("local[*]", shuffle_partitions=8, app_name="mailguard-tests", conf={"spark.driver.memory": "16g"})
     yield s
     s.stop()
 

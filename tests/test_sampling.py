@@ -43,3 +43,28 @@ def test_per_group_sample_and_simple(spark):
     a = {r["key"] for r in SM.simple_sample(frame(spark), 13, "key").collect()}
     b = {r["key"] for r in SM.simple_sample(frame(spark), 13, "key").collect()}
     assert a == b
+
+
+def with_nulls(spark, n=100):
+    """A quarter of the rows has no stratum."""
+    return spark.range(n).select(F.col("id").cast("string").alias("key"),
+                                 F.when(F.col("id") % 4 > 0, F.concat(F.lit("s"), (F.col("id") % 4).cast("string")))
+                                 .alias("stratum"))
+
+
+def test_null_strata_lose_no_row(spark):
+    df = with_nulls(spark)
+    folds = SM.kfold(df, ["stratum"], 5, "key").collect()
+    assert len(folds) == 100 and {r["fold"] for r in folds} == set(range(5))
+    assert sorted(r["fold"] for r in folds if r["stratum"] is None) == sorted(list(range(5)) * 5)
+    assert SM.stratified_sample_n(df, ["stratum"], 20, "key").filter("_selected").count() == 20
+    split = SM.stratified_split(df, ["stratum"], 0.2, "key")
+    assert split.filter("split = 'test' AND stratum IS NULL").count() == 5
+    assert split.count() == 100 and split.columns == ["key", "stratum", "split"]
+    assert SM.per_group_sample(df, "stratum", 3, "key").filter("stratum IS NULL").count() == 3
+
+
+def test_null_target_has_no_label(spark):
+    from mailguard.operators import models as ML
+    df = spark.createDataFrame([("malicious",), ("benign",), (None,)], "target_1 string")
+    assert [r["label"] for r in ML.with_label(df).collect()] == [1.0, 0.0, None]

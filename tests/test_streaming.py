@@ -18,3 +18,15 @@ def test_stream_window_counts_equal_batch(spark):
              .count().collect())
     assert streamed == {(r["w"], r["event_type"]): r["count"] for r in batch}
     assert sum(streamed.values()) == ev.count()
+
+
+def test_files_out_of_time_order_and_table_folder(spark, tmp_path):
+    """Four files a day apart, newest first, as a folder of part files."""
+    folder = tmp_path / "events.parquet"
+    for i in range(4):
+        day = 4 - i
+        (spark.range(5).select(F.expr(f"timestamp'2024-01-0{day} 10:00:00' + make_interval(0,0,0,0,0,id)").alias("ts"),
+                               F.lit("a").alias("event_type")).coalesce(1)
+         .write.mode("append").parquet(str(folder)))
+    got = {r["window_start"]: r["n"] for r in event_window_counts(spark, str(tmp_path)).collect()}
+    assert got == {f"2024-01-0{d} 10:00:00": 5 for d in (1, 2, 3, 4)}

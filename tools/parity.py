@@ -107,7 +107,7 @@ if __name__ == "__main__":
     from mailguard.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = set(sys.argv[2:]) or None
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, conf={"spark.driver.memory": "16g"})
     res = compare(spark, sf, names)
     bad = [k for k, v in res.items() if v[0] not in ("OK", "rows-only")]
     print(f"{len(res) - len(bad)}/{len(res)} fine; bad: {bad}")

@@ -103,7 +103,7 @@ def npmi_coherence(df: DataFrame, doc: str, tokens: str, topics: DataFrame) -> D
     """
     n_docs = df.select(doc).count()
     present = df.select(doc, F.explode(F.array_distinct(tokens)).alias("term"))
-    hits = present.join(F.broadcast(topics), "term")  # topics: small, fixed size
+    hits = present.join(topics, "term")   # topics come from the data: AQE broadcasts at a measured size
     p1 = hits.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("d1"))
     a, b = hits.alias("a"), hits.alias("b")
     pairs = (a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.topic") == F.col("b.topic"))

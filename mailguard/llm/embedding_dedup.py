@@ -7,8 +7,10 @@ in ascending order of a lower bound of the distance to anything in them (the
 sum of the halves' bounds, each the larger of the distance to the codewords'
 bisector and the distance to the codeword less the cell's radius).  Where it
 stops is measured: some query vectors are compared with all rows by brute
-force, and the limit is the bound up to which the target recall of their links
-is reached.  Candidates are verified by their cosine in double precision.
+force, and the limit is the largest bound of the farthest link of any of them.
+With too few linked ones among them for the target recall, every cell that can
+hold a link is visited.  Candidates are verified by their cosine in double
+precision.
 
 Equal vectors are one class with a weight.  The vectors that meet in a cell are
 compared in blocks of bounded size, which give link counts and a spanning
@@ -29,8 +31,7 @@ from mailguard.llm.common import connected_components, cut
 
 SAMPLE = 16_384     # vectors that codebooks are fitted on, at most
 BLOCK = 1024        # rows of one side of a comparison
-QUERIES = 512       # vectors that the recall is measured with, against all rows
-BINS = 4096
+QUERIES = 16_384    # vectors that the recall is measured with, against all rows, at most
 LEAST_CELLS = 4     # nearest cells visited whatever the measured limit
 
 
@@ -102,16 +103,17 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = SAMPLE, occupancy: int = 8,
-                    block: int = BLOCK, target_recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                    block: int = BLOCK, target_recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding",
+                    queries: int = QUERIES) -> DataFrame:
     """``id_col, n_links, component_id, kept`` per row.
 
     ``n_links`` counts the other rows with cosine >= ``threshold``,
     ``component_id`` is the smallest id reachable by links, ``kept`` says that
     it is the row's own.  Every row is indexed; ``sample`` bounds only what the
     codebooks are fitted on, ``occupancy`` is the wanted number of vectors a
-    cell and ``target_recall`` that of the links found (1: every cell that can
-    hold one is visited).  Vectors that are null, empty, zero or hold null or non-finite
-    components link with nothing; neither do vectors of different length, nor
+    cell and ``target_recall`` that of the rows whose links are all found (1:
+    every cell that can hold one is visited; see ``_measured_limit``).  Vectors that are null,
+    empty, zero or hold null or non-finite components link with nothing; neither do vectors of different length, nor
     rows with a null id (no links, component null, kept false).  Rows that repeat an id
     link like any others.  An empty table gives no rows; other columns are
     ignored.
@@ -123,7 +125,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
         raise ValueError("over 1000 different vector lengths")
     found = rows.sparkSession.createDataFrame([], "a long, b long, n long")
     for d in dims:
-        found = found.union(_links(classes.where(F.size("unit") == d), d, threshold, sample, occupancy, block, target_recall))
+        found = found.union(_links(classes.where(F.size("unit") == d), d, threshold, sample, occupancy, block, target_recall, queries))
     found = cut(found)
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     comp = connected_components(found.where("b is not null").select("a", "b"))
@@ -140,7 +142,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
 
 
 def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupancy: int, block: int,
-           target_recall: float) -> DataFrame:
+           target_recall: float, queries: int) -> DataFrame:
     """``a, b, n``: rows (class, null, number of linked rows) and forest edges (class, class, 0)."""
     sc = classes.sparkSession.sparkContext
     total = classes.count()
@@ -170,8 +172,8 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
         reach[i][j] = r
     reach_b = sc.broadcast(reach)
     if target_recall < 1:
-        asked = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(QUERIES).select("unit").toArrow()
-        limit = _measured_limit(classes, _matrix(asked.column(0).combine_chunks(), dim), books, reach_b, threshold, limit, target_recall)
+        asked = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(queries).select("cid", "unit").toArrow()
+        limit = _measured_limit(classes, asked, dim, total, books, reach_b, threshold, limit, target_recall)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (c1, c2), (r1, r2) = books.value, reach_b.value
@@ -208,32 +210,48 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
             .mapInArrow(_verify(dim, threshold), "a long, b long, n long"))
 
 
-def _measured_limit(classes: DataFrame, asked: np.ndarray, books, reach, threshold: float, limit: float, target: float) -> float:
-    """Bound up to which ``target`` of the links of the vectors ``asked`` lie, measured against all rows.
+def _measured_limit(classes: DataFrame, asked: pa.Table, dim: int, total: int, books, reach, threshold: float, limit: float,
+                    target: float) -> float:
+    """Bound up to which every link of the vectors ``asked`` lies, measured against all rows.
 
-    Without any link among them it is a quarter of ``limit``.
+    Each linked vector counts once, by its farthest link, however many links it
+    has.  With n of them drawn at random, the expected share of linked vectors
+    that have a link beyond the largest is 1 / (n + 1).  So fewer than
+    1 / (1 - target) keep the whole ``limit``, unless all vectors were asked.
     """
-    dim, half = asked.shape[1], asked.shape[1] // 2
-    held = classes.sparkSession.sparkContext.broadcast(asked)
+    unit = _matrix(asked.column(1).combine_chunks(), dim)
+    half = dim // 2
+    held = classes.sparkSession.sparkContext.broadcast((asked.column(0).to_numpy(), unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (c1, c2), (r1, r2), q = books.value, reach.value, held.value
-        low1, low2 = bounds(q[:, :half], c1, r1)[1], bounds(q[:, half:], c2, r2)[1]
-        total = np.zeros(BINS, np.int64)
-        for b in batches:
-            x = _matrix(b.column(0), dim)
-            i, j = np.nonzero((q @ x.T >= threshold) & (q @ x.T < 1 - 1e-12))
-            low = low1[i, _squares(x[:, :half], c1).argmin(1)[j]] + low2[i, _squares(x[:, half:], c2).argmin(1)[j]]
-            total += np.bincount(np.minimum(np.ceil(low / limit * (BINS - 1)), BINS - 1).astype(int), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(total)], names=["bin", "n"])
-
-    rows = (classes.select("unit").mapInArrow(run, "bin long, n long").where("n > 0").groupBy("bin").agg(F.sum("n").alias("n"))
-            .orderBy("bin").collect())      # at most BINS rows
-    if not rows:
-        return limit / 4
-    upto = np.cumsum([r["n"] for r in rows])
-    at = rows[int(np.searchsorted(upto, target * upto[-1]))]["bin"]
-    return min(limit, 1.5 * limit * (at + 1) / (BINS - 1))
+        (c1, c2), (r1, r2), (cid, q) = books.value, reach.value, held.value
+        (q1, low1), (q2, low2) = bounds(q[:, :half], c1, r1), bounds(q[:, half:], c2, r2)
+        far, q, order = np.full(len(q), -1.0), q.astype(np.float32), np.argsort(cid)
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                x, own = _matrix(b.column(1), dim), b.column(0).to_numpy()
+                # Single precision with a margin: a pair just below the threshold can only raise the bound.
+                near = x.astype(np.float32) @ q.T >= threshold - 1e-5
+                place = order[np.minimum(np.searchsorted(cid, own, sorter=order), len(cid) - 1)]
+                same = np.flatnonzero(cid[place] == own)
+                near[same, place[same]] = False
+                j, i = np.nonzero(near)
+                (x1, up1), (x2, up2) = bounds(x[:, :half], c1, r1), bounds(x[:, half:], c2, r2)
+                # The traversal starts from the lower of the two cells.
+                lower = q1[i] * len(c2) + q2[i] <= x1[j] * len(c2) + x2[j]
+                low = np.where(lower, low1[i, x1[j]] + low2[i, x2[j]], up1[j, q1[i]] + up2[j, q2[i]])
+                np.maximum.at(far, i, low)
+        i = np.flatnonzero(far >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(far[i])], names=["i", "far"])
+
+    linked = (classes.select("cid", "unit").mapInArrow(run, "i long, far double").groupBy("i").agg(F.max("far").alias("far"))
+              .agg(F.count("*").alias("n"), F.max("far").alias("far")).first())
+    if len(unit) == total:
+        return min(limit, (linked["far"] or 0.0) + 1e-9)
+    if linked["n"] < 1 / (1 - target) - 1e-6:
+        return limit
+    return min(limit, 1.5 * linked["far"] + 1e-9)
 
 
 def _verify(dim: int, threshold: float):

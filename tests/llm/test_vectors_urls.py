@@ -67,6 +67,26 @@ def test_embedding_links_against_all_pairs(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values()) > 0
 
 
+def test_embedding_links_of_rare_and_hot_groups(spark):
+    rng = np.random.default_rng(2)
+
+    def near(v, cos):    # unit vectors at that cosine
+        side = rng.standard_normal(v.shape)
+        side -= (side * v).sum(1)[:, None] * v
+        return cos * v + (1 - cos * cos) ** 0.5 * side / np.linalg.norm(side, axis=1)[:, None]
+
+    base = rng.standard_normal((2500, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rare = np.concatenate([base, near(base[:40], 0.951)])                        # pairs just above the threshold, in few rows
+    hot = np.concatenate([rare, near(np.repeat(base[-1:], 600, 0), 0.9999)])     # and a group whose links are all short
+    for x, queries in ((rare, 16_384), (hot, 16_384), (hot, 300)):               # 300: too few linked, the limit stays whole
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        want = dict(enumerate(((unit @ unit.T >= 0.95).sum(1) - 1).tolist()))
+        more = {} if queries == 16_384 else {"queries": queries}
+        assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, **more).collect()} == want
+
+
 def test_embedding_links_on_awkward_rows(spark):
     rows = spark.createDataFrame(ODD, "vec_id long, embedding array<double>")
     got = embedding_dedup.near_duplicates(rows).collect()

@@ -1,7 +1,7 @@
 """Personal data by anchor expansion (operator 5).
 
 An Aho-Corasick automaton finds anchors in a text: at-signs, schemes, plus
-signs, dots between digits and identifier cues.  At each anchor a
+signs, digits joined by at most one separator and identifier cues.  At each anchor a
 deterministic parser of its kind expands to the left and right, fixes the
 boundaries and validates the candidate.  No pattern runs over whole texts.
 
@@ -43,6 +43,14 @@ STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive")
 ACCOUNT_CUES = ("iban", "account number", "account no", "acct no")
 SECRET_CUES = ("password=", "password:", "passwd=", "api_key=", "secret=")
 
+# Characters of an IBAN by country.
+IBAN_SIZES = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for country in countries.split()}
+
 _HOUSE = re.compile(r"(?<!\w)[1-9][0-9]{0,4}(?: [A-Z][a-z]+){1,3} $")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NUMBER = re.compile(r"[ :#.]{1,3}([0-9](?:[ -]?[0-9]){7,17})(?![0-9])")
@@ -54,10 +62,11 @@ def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     for word, kind in (("@", "email"), ("+", "phone"), ("://", "userinfo")):
         auto.add_word(word, (kind, len(word)))
-    for d in "0123456789":      # identifier cues of numbers: a dot or a digit after a digit
+    for d in "0123456789":      # identifier cues of numbers: a dot or a digit, also behind a space or hyphen, after a digit
         auto.add_word(f"{d}.", ("ip", 2))
         for e in "0123456789":
-            auto.add_word(d + e, ("card", 2))
+            for gap in ("", " ", "-"):
+                auto.add_word(d + gap + e, ("card", 2 + len(gap)))
     for kind, cues in (("address", STREET_CUES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             auto.add_word(cue, (kind, len(cue)))
@@ -81,6 +90,17 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN that starts the candidate ends: at its country's length, else at the farthest
+    end of a word, or of the candidate, where the check digits hold; 0 if they hold nowhere."""
+    places = [i + 1 for i in range(start, end) if text[i] != " "]
+    size = IBAN_SIZES.get(text[start:start + 2], 0)
+    ends = [at for at in reversed(places) if at == end or not text[at].isalnum()]
+    if 0 < size <= len(places):
+        ends.insert(0, places[size - 1])
+    return next((at for at in ends if iban_valid(text[start:at])), 0)
+
+
 def _run_start(text: str, at: int, floor: int, separators: str) -> int:
     """Start of the chain of digits, joined by single separators, that ends at ``at``."""
     while at > floor:
@@ -137,9 +157,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif kind == "account":
             if first >= upto["account"] and not text[first - 1:first].isalnum():
                 m = _IBAN.search(text, last + 1, last + 45)
-                if m and not text[m.start() - 1].isalnum() and iban_valid(m[0]):
-                    spans.append(("account", *m.span()))
-                    upto["account"] = m.end()
+                end = _iban_end(text, *m.span()) if m and not text[m.start() - 1].isalnum() else 0
+                if end:
+                    spans.append(("account", m.start(), end))
+                    upto["account"] = end
                 elif m := _NUMBER.match(text, last + 1):
                     spans.append(("account", *m.span(1)))
                     upto["account"] = m.end()

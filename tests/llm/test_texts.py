@@ -116,6 +116,20 @@ def test_pii_against_patterns(spark, texts):
         assert own == pii.brute_force(t or "")
 
 
+def test_pii_of_separated_digits_and_followed_ibans():
+    apart = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "x 4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1."]
+    rng = np.random.default_rng(4)
+    drawn = ["".join(rng.choice(list("0123456789 -"), 400)) for _ in range(50)] + [" ".join(rng.choice(list("0123"), 16)) for _ in range(50)]
+    for t in [*apart, *drawn]:
+        assert [s for s in pii.find(t) if s[0] in pii.BASE_KINDS] == pii.brute_force(t)
+    assert all([s[0] for s in pii.find(t)] == ["card"] for t in apart)
+    iban = "DE89 3704 0044 0532 0130 00"
+    for rest in ("", " Please", " 4 items", " AND MORE", "X", "x", ", then"):
+        t = f"IBAN {iban}{rest}"
+        assert pii.redact(t, [s for s in pii.find(t) if s[0] == "account"]) == f"IBAN <account>{rest}"
+    assert not pii.find("IBAN DE88 3704 0044 0532 0130 0O Please")
+
+
 def test_pii_on_awkward_rows(edge_docs):
     got = {r.doc_id: r for r in pii.find_documents(edge_docs.where("text not like 'another%' or text is null")).collect()}
     assert got[2].spans == [] and got[2].redacted == ""

@@ -13,7 +13,11 @@ def fold(id_col: str, n: int) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, keep: Column, per_class: int,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, y``: at most ``per_class`` labelled rows of each class, by the hash of their id.
+    """``id, text, y, weight``: at most ``per_class`` labelled rows of each class, by the hash of their id.
+
+    ``weight`` restores the ratio of the classes among all labelled rows: the
+    share of the row's class there over its share among the chosen; 1 where no
+    bound cuts.
 
     Rows whose id or label is null, whose label is neither 0 nor 1, or that
     fail ``keep`` take no part; of repeated labels of one id the smallest
@@ -22,8 +26,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, keep: Column,
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(target).cast("int").alias("y"), keep.alias("keep"))
              .where("keep and id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y")))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}     # two rows at most
+    held = {y: min(n, per_class) for y, n in counts.items()}
+    every, taken = sum(counts.values()), sum(held.values())
+    weight = F.lit(1.0)
+    for y, n in counts.items():
+        if taken:
+            weight = F.when(F.col("y") == y, F.lit(n * taken / (every * held[y]))).otherwise(weight)
     order = F.xxhash64("id")
     chosen = known.where("y = 0").orderBy(order, "id").limit(per_class).union(
         known.where("y = 1").orderBy(order, "id").limit(per_class))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.join(F.broadcast(chosen), "id").select("id", "text", "y")
+    return d.join(F.broadcast(chosen), "id").select("id", "text", "y", weight.alias("weight"))

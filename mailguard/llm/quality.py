@@ -39,9 +39,10 @@ def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(dot, -60, 60)))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int = SLOTS, alpha: float = 0.3, beta: float = 1.0,
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], slots: int = SLOTS, alpha: float = 0.3, beta: float = 1.0,
          l1: float = 0.02, l2: float = 0.02, epochs: int = 3, seed: int = 7) -> np.ndarray:
-    """Follow-the-regularised-leader-proximal updates, one example at a time; the final weights."""
+    """Follow-the-regularised-leader-proximal updates, one example (slots, values, label,
+    example weight) at a time; the final weights."""
     z, n = np.zeros(slots), np.zeros(slots)
 
     def current(i: np.ndarray) -> np.ndarray:
@@ -51,9 +52,9 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int = SLOTS, alp
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            i, x, y = rows[k]
+            i, x, y, share = rows[k]
             w = current(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -60, 60))) - y) * x
+            g = (1 / (1 + np.exp(-np.clip(w @ x, -60, 60))) - y) * share * x
             sq = n[i]
             z[i] += g - (np.sqrt(sq + g * g) - np.sqrt(sq)) / alpha * w
             n[i] = sq + g * g
@@ -65,8 +66,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quali
     """Weights from at most ``per_class`` labelled rows of each class (see ``training_rows``).
 
     The tasks turn texts into sparse vectors of at most ``slots`` entries; only
-    these reach the driver, which runs the updates.  Classes are weighted as
-    they come.  Without labelled rows all weights are 0 (every score 0.5).
+    these reach the driver, which runs the updates.  Classes count in
+    their ratio among all labelled rows.  Without labelled rows all weights are 0 (every score 0.5).
     """
     rows = training_rows(docs, labels, target, keep, per_class, id_col, text_col)
 
@@ -79,12 +80,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quali
             val = [np.concatenate([[1.0], c * f]).astype(np.float32) for c, f in zip(np.split(count, cuts), scale, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())),
-                 b.column(2)], names=["id", "i", "x", "y"])
+                 b.column(2), b.column(3)], names=["id", "i", "x", "y", "weight"])
 
-    got = rows.mapInArrow(run, "id string, i array<int>, x array<float>, y int").toArrow().sort_by("id")
+    got = rows.mapInArrow(run, "id string, i array<int>, x array<float>, y int, weight double").toArrow().sort_by("id")
     idx, val = got.column("i").to_pylist(), got.column("x").to_pylist()
-    return ftrl([(np.array(i), np.array(x), y) for i, x, y in zip(idx, val, got.column("y").to_pylist(), strict=True)],
-                slots, **solver)
+    y, share = got.column("y").to_pylist(), got.column("weight").to_pylist()
+    return ftrl([(np.array(i), np.array(x), *rest) for i, x, *rest in zip(idx, val, y, share, strict=True)], slots, **solver)
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,12 +129,12 @@ class Network:
             keep |= {"x": x, "mask": mask, "traces": traces, "states": states, "act": act, "alpha": alpha, "pooled": pooled}
         return out
 
-    def gradients(self, emb: np.ndarray, grid: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-        """Gradients of the mean log loss; that of the inputs x; and the windows' probabilities."""
+    def gradients(self, emb: np.ndarray, grid: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Gradients of the mean weighted log loss; that of the inputs x; and the windows' probabilities."""
         k: dict = {}
         prob = _sigmoid(self.logits(emb, grid, k))
         p, g, h = self.p, {}, HIDDEN
-        d = ((prob - y) / len(y)).astype(emb.dtype)
+        d = ((prob - y) * weight / len(y)).astype(emb.dtype)
         g["out"], g["out_b"] = k["pooled"].T @ d, np.array([d.sum()])
         d_pool = d[:, None] * p["out"]
         d_states = k["alpha"][:, :, None] * d_pool[:, None, :]
@@ -178,15 +178,17 @@ class Network:
         return _sigmoid(np.clip(top, -60, 60))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Network:
+def fit(texts: list[str], y: np.ndarray, weight: np.ndarray | None = None, epochs: int = 5, batch: int = 64, rate: float = 0.02,
+        seed: int = 5) -> Network:
     """Adam on the most toxic window of each text; inputs start from the labels' log odds.
 
     The first component of every embedding starts as the clipped log odds of
     its slot among the training texts (the other components at random), so the
     first choice of windows is already informed.  An empty window counts as
-    not toxic.
+    not toxic.  ``weight`` is that of each text in the loss.
     """
     net, rng = Network(), np.random.default_rng(seed)
+    weight = np.ones(len(y)) if weight is None else weight
     if not len(y) or y.min() == y.max():
         return net
     w = Words(texts)
@@ -218,7 +220,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 64, rate:
             sub = _subset(w, used)
             local = np.full_like(rows, -1)
             local[rows >= 0] = inverse
-            g, d_x, _ = net.gradients(net.embed(sub), local, target)
+            g, d_x, _ = net.gradients(net.embed(sub), local, target, np.append(weight[own], 1))
             d_tok = np.zeros((len(used), DIM), np.float32)
             np.add.at(d_tok, inverse, d_x[local >= 0])
             step += 1
@@ -254,12 +256,14 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic
     """Fit on at most ``per_class`` labelled rows of each class of at most ``text_bytes`` bytes.
 
     Both are documented bounds of the training sample alone (they bound what
-    the driver holds); scoring reads whole texts of any length.  Without rows
+    the driver holds); classes count in their ratio among all labelled rows, and
+    scoring reads whole texts of any length.  Without rows
     of both classes the network stays untrained, with scores near 0.27.
     """
     short = docs.where(F.octet_length(text_col) <= text_bytes)
     got = training_rows(short, labels, target, keep, per_class, id_col, text_col).toArrow().sort_by("id")
-    return fit(got.column("text").to_pylist(), np.array(got.column("y").to_pylist(), dtype=np.float64), **solver)
+    y, weight = (np.array(got.column(c).to_pylist(), dtype=np.float64) for c in ("y", "weight"))
+    return fit(got.column("text").to_pylist(), y, weight, **solver)
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

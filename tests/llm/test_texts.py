@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from mailguard.llm import bpe, packing, pii, quality, simhash, suffix_dedup, toxicity
 from mailguard.llm.entry import op8_toxicity, op9_quality
-from mailguard.llm.labelled import fold
+from mailguard.llm.labelled import fold, training_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -148,6 +148,23 @@ def test_held_out_accuracy(spark, query, target):
     assert n > 50 and share > 0.85
 
 
+@pytest.mark.parametrize(("model", "target", "threshold", "per_class", "low", "high"),
+                         [(toxicity, "toxic", 0.5, 150, 0.04, 0.85), (quality, "quality", 0.7, 100, 0.1, 0.97)])
+def test_class_ratio_survives_the_bound(spark, model, target, threshold, per_class, low, high):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(8)
+    keep = fold("doc_id", 5) != 0
+    rows = training_rows(docs, labels, target, keep, per_class).select("y", "weight").collect()
+    known = [r[0] for r in labels.where(keep).select(target).collect()]
+    assert [sum(r.y == y for r in rows) for y in (0, 1)] == [per_class] * 2
+    assert sum(r.weight * r.y for r in rows) / sum(r.weight for r in rows) == pytest.approx(sum(known) / len(known))
+    held = docs.where(fold("doc_id", 5) == 0)
+    got = model.score_documents(held, model.train(docs, labels, keep, per_class=per_class)).join(labels, "doc_id").collect()
+    own = {y: [r.score >= threshold for r in got if r[target] == y] for y in (0, 1)}
+    assert sum(own[0]) / len(own[0]) < low and sum(own[1]) / len(own[1]) > high
+
+
 def test_classifiers_on_awkward_rows(spark, edge_docs):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
     net = toxicity.train(edge_docs, labels, fold("doc_id", 5) >= 0)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailguard.functions._expr import let
 from mailguard.llm import (
     bpe,
     embedding_dedup,
+    line_dedup,
     packing,
+    periodic_runs,
     pii,
+    prefix_trie,
     quality,
     simhash,
     suffix_dedup,
@@ -160,6 +164,112 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more of them hold."""
+    out = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = f"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), j AS (
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.owner AS gone FROM k LEFT JOIN shared s USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
+def rebuilt(seqs: DataFrame) -> DataFrame:
+    """Conversations whose first turns are those of another: the contract's input of operator 12."""
+    start = seqs.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("start"))
+    own = seqs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5)
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    turns = F.concat(F.slice(F.coalesce("start", F.slice("turns", 1, 0)), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return own.join(start, "base", "left").select("conv_id", turns.alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    nodes = prefix_trie.prefix_nodes(rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# DuckDB has no crc32, so the table of the polynomial 0xEDB88320 is folded over the digits of the id.
+OP12_SQL = """
+WITH RECURSIVE steps(n, c, i) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8
+), crc AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE i = 8
+), own AS (
+  SELECT conv_id, list({'d': md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')),
+                        'b': strlen(coalesce(text, ''))} ORDER BY turn NULLS FIRST,
+                       md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM own, crc
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5
+), p AS (
+  SELECT conv_id, len(turns) = d AS ends, d AS depth, list_transform(turns[1:d], lambda x: x.d) AS path, turns[d].b AS bytes
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)
+), n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(bytes), 0) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY ALL
+), kids AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), m AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN kids k USING (path)
+), up AS (
+  SELECT path[1:a] AS path, sum((n_convs - 1) * bytes) AS saved, count_if(n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM m) GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(up.leaves AS BIGINT) AS n_leaves,
+       CAST(up.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN up USING (path) LEFT JOIN n q ON m.depth > 0 AND q.path = m.path[1:m.depth - 1]
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents, one in ten of which goes on periodically from some word: the contract's input of operator 13."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def planted(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(w, lambda x, i: F.when(i >= a, F.get(w, a + (i - a) % p)).otherwise(x))
+
+    text = F.when(h % 10 == 0, F.array_join(let(words, planted), " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents: their count, the one of greatest exponent, and digests of the runs and the collapsed text."""
+    found = periodic_runs.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")), min_length=24, exponent=3)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(line.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -171,6 +281,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_topk": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_topk": OP6_SQL,
+                              "op11_line_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL}

@@ -44,6 +44,50 @@ def test_topk_equals_sql(spark):
     assert {tuple(r) for r in op6_topk(spark, SF).collect()} == oracle(OP6_SQL, "embeddings")
 
 
+def top_by_hand(rows, asked, k):
+    """``query -> [(vec_id, score)]`` over (id, vector) rows, repeated ids counted once."""
+    ints = [(i, np.floor(256 * np.array(v, np.float64))) for i, v in rows]
+    out = {}
+    for q in asked:
+        best = {}
+        for own in (v for i, v in ints if i == q):
+            for i, v in ints:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(own @ v))
+        out[q] = sorted(((i, int(s)) for i, s in best.items()), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def test_topk_ties_shared_ids_and_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 8))
+    rows = [(n, (base[n % 12] + 0.05 * rng.normal(size=8)).tolist()) for n in range(600)]
+    rows += [(7, (9 * base[1] + j).tolist()) for j in range(6)]                 # one id on several high vectors
+    rows += [(1000 + n, base[3].tolist()) for n in range(300)]                  # ties
+    rows += [(2000 + n, rng.normal(size=8).tolist()) for n in range(100)]
+    rows += rows[:40]                                                           # repeated rows
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as id", "0 as pivot", "1 as block", "2 as tree").repartition(5)
+    asked = [n for n in sorted({i for i, _ in rows}) if n % 50 == 7 or n in (1003, 2001)]
+    for block_bytes in (1 << 19, 1 << 10):                                      # one block, and blocks of 32 rows and 8 queries
+        got = {}
+        for r in sorted(topk.search(table, table.where(f"vec_id in ({','.join(map(str, asked))})"), k=5, block_bytes=block_bytes).collect()):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == top_by_hand(rows, asked, 5)
+
+
+def test_cover_tree_covers_every_row_at_falling_scales():
+    rng = np.random.default_rng(1)
+    x = np.rint(100 * np.repeat(rng.normal(size=(40, 6)), 20, 0) + rng.normal(size=(800, 6)))
+    tree = topk.CoverTree.unpack(topk.CoverTree.grow(np.arange(800), x).pack())
+    assert sorted(tree.ids.tolist()) == list(range(800)) and len(tree.lo) > 20
+    for i in range(len(tree.lo)):
+        dist = np.sqrt(((tree.x[tree.lo[i]:tree.hi[i]] - tree.middle[i]) ** 2).sum(1))
+        assert (dist <= tree.radius[i]).all()
+        kids = range(tree.first[i], tree.last[i])
+        assert not kids or [tree.lo[i], *(tree.hi[j] for j in kids)] == [*(tree.lo[j] for j in kids), tree.hi[i]]
+        assert all(tree.radius[j] < tree.radius[i] for j in kids)
+
+
 def test_topk_on_awkward_rows(spark):
     rows = spark.createDataFrame(ODD, "vec_id long, embedding array<double>")
     got = topk.search(rows, rows.where("vec_id in (9006, 9008)"), k=5, scale=256.0).collect()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailguard.llm.common import slices, small_batches
+from mailguard.llm.common import hold, slices, small_batches
 
 # The tokenizer's white space is Python's without the four separators U+001C to U+001F.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -219,16 +219,12 @@ class PairIndexBpe:
         return b" ".join([names[i] for i in ids.tolist()])
 
 
-_LOADED: dict[str, PairIndexBpe] = {}
+OWNER = "bpe"
 
 
 def load(spec: str) -> PairIndexBpe:
-    """One merger per worker process and tokenizer; its memo lives as long as the worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = PairIndexBpe(spec)
-    return _LOADED[key]
+    """One merger per worker process and tokenizer; its memo lives until another operator's task uses the worker."""
+    return hold(OWNER, hashlib.sha256(spec.encode()).hexdigest(), lambda: PairIndexBpe(spec))
 
 
 def read_spec(path: str) -> str:
@@ -253,7 +249,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(spec.value)
-        for b in slices(batches, "text", slice_bytes):
+        for b in slices(batches, "text", slice_bytes, OWNER):
             ids = list(bpe.encode([t or "" for t in b.column(1).to_pylist()]))
             decoded = [bpe.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays(

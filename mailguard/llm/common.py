@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +47,34 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+_held: dict[str, tuple[object, object]] = {}    # of this worker process: owner -> (key, value)
+
+
+def hold(owner: str, key: object, make: Callable[[], object]) -> object:
+    """Value of ``make()``, kept in this worker for later tasks of ``owner`` with the same key."""
+    if owner not in _held or _held[owner][0] != key:
+        _held.clear()
+        _held[owner] = (key, make())
+    return _held[owner][1]
+
+
+def release(keep: str | None = None) -> None:
+    """Drop what operators but ``keep`` hold in this worker: workers are used again by other operators' tasks."""
+    if [o for o in _held if o != keep]:
+        for o in [o for o in _held if o != keep]:
+            del _held[o]
+        gc.collect()
+        give_back()
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``text`` holds at most about ``max_bytes`` bytes.
 
-    A single longer text stays whole, in a slice of its own.  Freed memory goes
+    A single longer text stays whole, in a slice of its own.  What operators
+    other than ``owner`` hold in the worker is dropped first; freed memory goes
     back to the system after the last slice.
     """
+    release(owner)
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
@@ -100,6 +122,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots = out.select(F.col("component").alias("node"), "component").distinct()
     return out.union(roots)
 
-
-def pandas_rows(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)

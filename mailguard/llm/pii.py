@@ -41,7 +41,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Cues of the further kinds, lower case.
 STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive")
 ACCOUNT_CUES = ("iban", "account number", "account no", "acct no")
-SECRET_CUES = ("password=", "password:", "passwd=", "api_key=", "secret=")
+SECRET_CUES = ("password", "passwd", "api_key", "api-key", "apikey", "secret", "token", "access_key", "private_key", "bearer")
 
 # Characters of an IBAN by country.
 IBAN_SIZES = {country: size for size, countries in {
@@ -54,7 +54,8 @@ IBAN_SIZES = {country: size for size, countries in {
 _HOUSE = re.compile(r"(?<!\w)[1-9][0-9]{0,4}(?: [A-Z][a-z]+){1,3} $")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NUMBER = re.compile(r"[ :#.]{1,3}([0-9](?:[ -]?[0-9]){7,17})(?![0-9])")
-_VALUE = re.compile(r"[ \"']{0,2}([^\s\"',;]{8,})")
+_VALUE = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']{0,2}([^\s\"',;]{8,})")
+_BEARER = re.compile(r"[ \t]{1,3}([A-Za-z0-9._~+/=-]{16,})")
 _USERINFO = re.compile(r"([^\s/@:]+:[^\s/@]+)@")
 
 
@@ -113,6 +114,16 @@ def _run_start(text: str, at: int, floor: int, separators: str) -> int:
     return at
 
 
+def _secret(text: str, first: int, end: int) -> re.Match | None:
+    """The value that a cue at ``first:end`` is given: any behind a password's sign, else letters mixed with digits."""
+    if text[first - 1:first].isalnum():
+        return None
+    cue = text[first:end].lower()
+    m = (_BEARER if cue == "bearer" else _VALUE).match(text, end)
+    mixed = m and any(c in _DIGITS for c in m[1]) and any(c.isalpha() for c in m[1])
+    return m if m and (mixed or cue in ("password", "passwd")) else None
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, by start, then in the order of ``KINDS``."""
     spans: list[tuple[str, int, int]] = []
@@ -165,7 +176,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     spans.append(("account", *m.span(1)))
                     upto["account"] = m.end()
         elif kind == "secret":
-            if first >= upto["secret"] and (m := _VALUE.match(text, last + 1)):
+            if first >= upto["secret"] and (m := _secret(text, first, last + 1)):
                 spans.append(("secret", *m.span(1)))
                 upto["secret"] = m.end()
         elif m := _USERINFO.match(text, last + 1):

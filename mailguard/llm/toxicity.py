@@ -24,6 +24,7 @@ from mailguard.llm.labelled import training_rows
 
 WORD_SLOTS, CHAR_SLOTS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 8, 8
 WINDOW, STRIDE, GRAM = 32, 26, 5
+CHUNK, SLICE_BYTES = 1024, 1 << 18     # windows and text bytes that a worker scores at a time (memory bounds)
 
 
 class Words:
@@ -173,8 +174,8 @@ class Network:
         grid, doc = w.windows()
         emb = self.embed(w)
         top = np.full(len(texts), -np.inf)
-        for at in range(0, len(grid), 8192):
-            np.maximum.at(top, doc[at:at + 8192], self.logits(emb, grid[at:at + 8192]))
+        for at in range(0, len(grid), CHUNK):
+            np.maximum.at(top, doc[at:at + CHUNK], self.logits(emb, grid[at:at + CHUNK]))
         return _sigmoid(np.clip(top, -60, 60))
 
 
@@ -207,7 +208,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray | None = None, epoch
     step = 0
     for epoch in range(epochs):
         emb = net.embed(w)
-        value = np.concatenate([net.logits(emb, grid[at:at + 8192]) for at in range(0, len(grid), 8192)])
+        value = np.concatenate([net.logits(emb, grid[at:at + CHUNK]) for at in range(0, len(grid), CHUNK)])
         if epoch == 0:   # by log odds alone, before the network has learned anything
             value = np.where(grid >= 0, np.append(emb[:, 0], 0)[grid], 0).max(1)
         best = np.lexsort((value, doc))[np.append(first[1:], len(doc)) - 1]
@@ -277,7 +278,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     d = small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.scores(b.column(1).to_pylist()))],
                                              names=["id", "score"])
 

@@ -56,16 +56,18 @@ def hold(owner: str, key: object, make: Callable[[], object]) -> object:
     if owner not in _held or _held[owner][0] != key:
         _held.clear()
         _held[owner] = (key, make())
+        give_back()
     return _held[owner][1]
 
 
 def release(keep: str | None = None) -> None:
     """Drop what operators but ``keep`` hold in this worker: workers are used again by other operators' tasks."""
-    if [o for o in _held if o != keep]:
-        for o in [o for o in _held if o != keep]:
-            del _held[o]
+    others = [o for o in _held if o != keep]
+    for o in others:
+        del _held[o]
+    if others:
         gc.collect()
-        give_back()
+    give_back()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int, owner: str | None = None) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from mailguard.llm.common import hold
+
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = 0x2545F4914F6CDD1D   # odd, so invertible modulo 2**64
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+OWNER = "hashing"
+STEP = 1 << 20    # tables of powers grow by so many entries
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -18,13 +21,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE**i`` and its inverse modulo 2**64 for ``i <= n`` (kept for the longest slice met)."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            x = np.full(n + 1, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n + 1], _powers[1][:n + 1]
+    """``BASE**i`` and its inverse modulo 2**64 for ``i <= n`` (the last tables are kept while the operator runs)."""
+
+    def table(b: int) -> np.ndarray:
+        x = np.full(n // STEP * STEP + STEP, b, np.uint64)
+        x[0] = 1
+        return np.cumprod(x, dtype=np.uint64)
+
+    up, down = hold(OWNER, n // STEP, lambda: (table(BASE), table(pow(BASE, -1, 1 << 64))))
+    return up[:n + 1], down[:n + 1]
 
 
 class Spans:

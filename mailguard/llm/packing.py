@@ -118,7 +118,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length
             return out
 
         tokens = 0
-        for b in slices(batches, "text", 4 << 20, bpe.OWNER):
+        for b in slices(batches, "text", 2 << 20, bpe.OWNER):
             id_arrow = b.schema.field(0).type
             for name, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 names.append(name)

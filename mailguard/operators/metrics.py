@@ -1,15 +1,18 @@
 """Classification metrics as aggregates.
 
 Every metric is one pass over (label, prediction) rows.  Threshold sweeps
-and ROC-AUC work on per-score counts (one row per distinct score), so their
-windows never see raw rows and no threshold x row product is formed.
+and ROC-AUC take running sums over per-score counts (one row per distinct
+score), range by range, so continuous scores do not meet in one task and no
+threshold x row product is formed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailguard.operators.ranking import running
+
 CLASSES = ("benign", "malicious")
 
 
@@ -99,13 +102,9 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, y: str, score: str,
                                           F.lit(0).cast("long").alias("neg"),
                                           F.lit(1).alias("_is_t"))
     events = counts.withColumn("_is_t", F.lit(0)).unionByName(th)
-    # distinct scores + thresholds: a small table, so the global window is cheap
-    w = Window.orderBy(F.col("s").desc(), F.col("_is_t")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    cum = (events.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-           .withColumn("P", F.sum("pos").over(everything))
-           .withColumn("N", F.sum("neg").over(everything))
-           .filter(F.col("_is_t") == 1))
+    upto = running(events, [F.col("s").desc(), F.col("_is_t")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    total = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    cum = upto.filter(F.col("_is_t") == 1).join(F.broadcast(total))      # one row
     fn = F.col("P") - F.col("tp")
     tn = F.col("N") - F.col("fp")
     return cum.select(
@@ -118,8 +117,7 @@ def roc_auc(df: DataFrame, y: str, score: str, positive: str = "malicious") -> D
     """ROC-AUC = P(score_pos > score_neg) + 0.5 P(tie) (Mann-Whitney),
     from per-score counts with a cumulative window over distinct scores."""
     counts = _score_counts(df, y, score, positive)
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = counts.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    c = running(counts, [F.col("s")], {"neg_upto": F.col("neg")}).withColumn("neg_below", F.col("neg_upto") - F.col("neg"))
     return c.agg(F.round((F.sum(F.col("pos") * F.col("neg_below") + 0.5 * F.col("pos") * F.col("neg"))
                           / (F.sum("pos") * F.sum("neg"))), 6).alias("roc_auc"))
 

@@ -12,6 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailguard.operators.joins import weighted_lookup
+from mailguard.operators.ranking import exact_quantiles, running
+from mailguard.session import materialise
+
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True, normalize: bool = False) -> DataFrame:
     """A1/A2: rows per value (null kept as its own value unless ``dropna``),
@@ -93,15 +97,18 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("count"),
             F.round(F.avg(x), 9).alias("mean"), F.round(F.stddev_samp(x), 9).alias("std"),
-            F.min(x).alias("min"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-            F.max(x).alias("max")).alias(c))
-    one = df.agg(*aggs)
-    rows = one.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("d"))
-    return rows.select("d.column", "d.count", "d.mean", "d.std", "d.min",
-                       F.round(F.col("d.q")[0], 9).alias("p25"),
-                       F.round(F.col("d.q")[1], 9).alias("p50"),
-                       F.round(F.col("d.q")[2], 9).alias("p75"), "d.max")
+            F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
+    one = df.agg(*aggs).select(F.explode(F.array(*[F.col(c) for c in cols])).alias("d")).select("d.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]))
+                     .alias("v")).select("v.*")
+    return one.join(_quartiles(long, "column", "x", 9, ("p25", "p50", "p75")), "column", "left").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def _quartiles(df: DataFrame, group: str, value: str, digits: int, names: tuple[str, str, str]) -> DataFrame:
+    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75])
+    return q.groupBy(group).agg(*[F.round(F.max(F.when(F.col("share") == s, F.col("quantile"))), digits).alias(n)
+                                  for s, n in zip((0.25, 0.5, 0.75), names, strict=True)])
 
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -158,11 +165,9 @@ def feature_types(df: DataFrame, cols: list[str], numeric: set[str]) -> DataFram
 def five_numbers(df: DataFrame, value: str, group: str) -> DataFrame:
     """Min, quartiles and max per group (box-plot data)."""
     x = F.col(value).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max")) \
-        .select(group, "min", F.round(F.col("_q")[0], 6).alias("q1"),
-                F.round(F.col("_q")[1], 6).alias("median"), F.round(F.col("_q")[2], 6).alias("q3"),
-                "max")
+    ends = df.groupBy(group).agg(F.min(x).alias("min"), F.max(x).alias("max"))
+    q = _quartiles(df, group, value, 6, ("q1", "median", "q3")).withColumnRenamed(group, "_g")
+    return ends.join(q, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "min", "q1", "median", "q3", "max")
 
 
 def top_label_per_topic(df: DataFrame, topic: str, label: str) -> DataFrame:
@@ -184,13 +189,16 @@ def conditional_counts(df: DataFrame, group: str, col: str, values: list[str]) -
 def rank_desc(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """SQL ``rank()`` by ``value`` descending over the whole frame.
 
-    rank = 1 + rows with a strictly larger value, computed on the per-value
-    count table (bounded by distinct values) and joined back on the value.
+    rank = 1 + rows with a strictly larger value, from running sums over the
+    per-value count table, joined back on the value (null ranks last).
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("long"))
-    return df.join(ranks.select(value, out), value, "left")
+    ranks = materialise(running(counts, [F.col(value).desc()], {"_upto": F.col("_n")})
+                        .select(F.col(value).alias("_value"), F.col("_n"), (F.col("_upto") - F.col("_n") + 1).cast("long").alias(out)))
+    known = weighted_lookup(df.where(F.col(value).isNotNull()), ranks.withColumnRenamed("_value", value).where(F.col(value).isNotNull()),
+                            [value], "_n", "left")
+    last = ranks.where("_value is null").select(out)                     # one row at most
+    return known.unionByName(df.where(F.col(value).isNull()).join(F.broadcast(last)))
 
 
 def nearest(df: DataFrame, col: str, target: float, cols: list[str]) -> DataFrame:

@@ -46,5 +46,6 @@ def load_all() -> dict[str, Query]:
         stream_queries,
         source_queries,
         url_queries,
+        neighbour_queries,
     )
     return REGISTRY

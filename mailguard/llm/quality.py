@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailguard.llm.common import slices, small_batches
 from mailguard.llm.hashing import Spans, join, mix, tokens
-from mailguard.llm.labelled import training_rows
+from mailguard.llm.labelled import restored, training_rows
 
 SLOTS = 1 << 18   # hashed features; slot 0 is the bias
 ECHO = np.uint64(1)   # the one feature of all 2-grams that repeat a word
@@ -62,14 +62,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], slots: int = SLO
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quality", per_class: int = 3000,
-          slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", **solver) -> np.ndarray:
-    """Weights from at most ``per_class`` labelled rows of each class (see ``training_rows``).
+          text_bytes: int = 64_000, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", **solver) -> np.ndarray:
+    """Weights from at most ``per_class`` labelled rows of each class of at most ``text_bytes`` bytes.
 
-    The tasks turn texts into sparse vectors of at most ``slots`` entries; only
-    these reach the driver, which runs the updates.  Classes count in
-    their ratio among all labelled rows.  Without labelled rows all weights are 0 (every score 0.5).
+    Both are documented bounds of the training sample alone.  The tasks turn
+    texts into sparse vectors; only these reach the driver, which runs the
+    updates.  Classes count in their ratio among all labelled rows, long ones
+    included.  Without labelled rows all weights are 0 (every score 0.5).
     """
-    rows = training_rows(docs, labels, target, keep, per_class, id_col, text_col)
+    short = docs.where(F.octet_length(text_col) <= text_bytes)
+    rows = training_rows(short, labels, target, keep, per_class, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
@@ -80,12 +82,22 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quali
             val = [np.concatenate([[1.0], c * f]).astype(np.float32) for c, f in zip(np.split(count, cuts), scale, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())),
-                 b.column(2), b.column(3)], names=["id", "i", "x", "y", "weight"])
-
-    got = rows.mapInArrow(run, "id string, i array<int>, x array<float>, y int, weight double").toArrow().sort_by("id")
-    idx, val = got.column("i").to_pylist(), got.column("x").to_pylist()
-    y, share = got.column("y").to_pylist(), got.column("weight").to_pylist()
-    return ftrl([(np.array(i), np.array(x), *rest) for i, x, *rest in zip(idx, val, y, share, strict=True)], slots, **solver)
+                 b.column(2), b.column(3), b.column(4)], names=["id", "i", "x", "y", "weight", "taken"])
+
+    got = rows.mapInArrow(run, "id string, i array<int>, x array<float>, y int, weight double, taken long").toArrow().sort_by("id")
+    y, weight, taken = (np.array(got.column(c).to_pylist(), np.float64) for c in ("y", "weight", "taken"))
+    idx, val = (_lists(got.column(c)) for c in ("i", "x"))
+    return ftrl(list(zip(idx, val, y.astype(int).tolist(), restored(y, weight, taken).tolist(), strict=True)), slots, **solver)
+
+
+def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its flat values."""
+    out = []
+    for chunk in col.chunks:
+        at = chunk.offsets.to_numpy()
+        flat = chunk.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from mailguard.llm.common import slices, small_batches
 from mailguard.llm.hashing import CLASSES, LETTER, Spans, join, mix, tokens
-from mailguard.llm.labelled import training_rows
+from mailguard.llm.labelled import restored, training_rows
 
 WORD_SLOTS, CHAR_SLOTS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 16, 6, 8, 8
 WINDOW, STRIDE, GRAM = 32, 26, 5
@@ -257,14 +257,14 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic
     """Fit on at most ``per_class`` labelled rows of each class of at most ``text_bytes`` bytes.
 
     Both are documented bounds of the training sample alone (they bound what
-    the driver holds); classes count in their ratio among all labelled rows, and
-    scoring reads whole texts of any length.  Without rows
+    the driver holds); classes count in their ratio among all labelled rows,
+    long ones included, and scoring reads whole texts of any length.  Without rows
     of both classes the network stays untrained, with scores near 0.27.
     """
     short = docs.where(F.octet_length(text_col) <= text_bytes)
     got = training_rows(short, labels, target, keep, per_class, id_col, text_col).toArrow().sort_by("id")
-    y, weight = (np.array(got.column(c).to_pylist(), dtype=np.float64) for c in ("y", "weight"))
-    return fit(got.column("text").to_pylist(), y, weight, **solver)
+    y, weight, taken = (np.array(got.column(c).to_pylist(), dtype=np.float64) for c in ("y", "weight", "taken"))
+    return fit(got.column("text").to_pylist(), y, restored(y, weight, taken), **solver)
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

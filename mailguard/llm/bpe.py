@@ -172,18 +172,18 @@ class PairIndexBpe:
         fresh = [p for p in pieces if p not in self.memo]
         if not fresh:
             return
-        if len(self.memo) + len(fresh) > MEMO_PIECES:
-            self.memo = dict(self.fixed)
-            fresh = [p for p in pieces if p not in self.memo]
+        if len(self.memo) + len(fresh) > MEMO_PIECES:      # what this batch holds stays
+            self.memo = self.fixed | {p: self.memo[p] for p in pieces if p in self.memo}
         plain, rest = [], []
         for p in fresh:
             (plain if p.isascii() and p.isprintable() or _PLAIN.fullmatch(p) else rest).append(p)
         found = _WORDS.findall("\n".join(plain).lower() + "\n") if plain else []   # a line feed ends each piece
         split = [[bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.pre(self.normalize(p))] for p in rest]
+        every = dict.fromkeys(chain(found, *split))
         if len(self.words) > MEMO_WORDS:
-            self.words = {"\n": PIECE_END}
+            self.words = {"\n": PIECE_END} | {w: self.words[w] for w in every if w in self.words}
         ids = self.words
-        words = [w for w in dict.fromkeys(chain(found, *split)) if w not in ids]
+        words = [w for w in every if w not in ids]
         ids.update(zip(words, self.merge_words([w.encode() for w in words]), strict=True))
         joined = b"".join(map(ids.__getitem__, found))
         ends = np.flatnonzero(np.frombuffer(joined, "<u4") == NO_ID) * 4

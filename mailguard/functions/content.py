@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailguard.functions._expr import let
 from mailguard.functions.patterns import LETTER, NOT_WS, WS
 
 # Banner the mail gateway prepends; removed from text_clean.
@@ -30,9 +31,14 @@ VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 # English language tags that the grammar check accepts.
 ENGLISH_TAGS = ("en", "en-us", "en-gb", "en-ca", "en-au")
 
-HREF = (r"(?i)<a" + WS + r"(?:[^>]*?" + WS + r")?href" + WS + r"*=" + WS
-        + r"*[\"']([^\"']*)[\"']")
-RAW_TEXT_BLOCKS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+# One piece of markup, in document order: a comment, a script or style block, a closing tag or an
+# opening tag, whose quoted attribute values may hold any character.  Possessive: no backtracking.
+_INSIDE = r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+"
+RAW_TEXT_BLOCKS = (r"<!--[\s\S]*?(?:-->|\z)|(?i:<script\b" + _INSIDE + r">[\s\S]*?(?:</script\s*>|\z)|<style\b" + _INSIDE
+                   + r">[\s\S]*?(?:</style\s*>|\z))")
+MARKUP = RAW_TEXT_BLOCKS + r"|</[a-zA-Z][^>]*+>|<[a-zA-Z]" + _INSIDE + r">|<[a-zA-Z][^>]*+>"
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
+ATTRIBUTE = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
 
 
 def _c(col) -> Column:
@@ -57,15 +63,36 @@ def text_clean(text_plain, tag: str = CAUTION_TAG) -> Column:
 
 
 def html_to_text(html) -> Column:
-    """Visible text of an HTML document (script/style/comments dropped)."""
-    body = F.regexp_replace(_c(html), RAW_TEXT_BLOCKS, " ")
-    return unescape_basic(F.regexp_replace(body, r"<[^>]*>", " "))
+    """Visible text of an HTML document: markup, script and style dropped, entities decoded."""
+    return unescape_basic(F.regexp_replace(_c(html), MARKUP, ""))
+
+
+def _tags(html: Column) -> Column:
+    """Opening and closing tags in document order, without comments and raw text blocks."""
+    return F.filter(F.regexp_extract_all(html, F.lit(MARKUP), 0), lambda t: ~t.rlike(r"^(?i:<!--|<script\b|<style\b)"))
+
+
+def _tag_name(tag: Column) -> Column:
+    return F.lower(F.regexp_extract(tag, TAG_NAME, 1))
+
+
+def _href(tag: Column) -> Column:
+    """Value of the first ``href`` of an opening tag, quoted or not; null without one."""
+    def groups(attrs: Column) -> Column:
+        at = F.array_position(F.transform(F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), 1), lambda n: F.lower(n)), "href").cast("int") - 1
+        values = [F.coalesce(F.get(F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), g), at), F.lit("")) for g in (2, 3, 4)]
+        return F.when(at >= 0, F.concat(*values))
+    return let(F.substring(tag, 3, 1 << 30), groups)
 
 
 def hyperlinks(html) -> Column:
-    """Distinct ``href`` values of ``<a>`` tags (sorted); [] for null."""
-    links = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(HREF), 1)
-    return F.array_sort(F.array_distinct(F.transform(links, unescape_basic)))
+    """Distinct ``href`` values of ``<a>`` tags (sorted); [] for null.
+
+    Unquoted values, ``>`` inside attributes and upper case are read as a
+    parser reads them; links in comments, scripts and styles are not links.
+    """
+    links = F.transform(F.filter(_tags(F.coalesce(_c(html), F.lit(""))), lambda t: t.rlike(r"^<[aA][\s/]")), _href)
+    return F.array_sort(F.array_distinct(F.transform(F.filter(links, lambda u: u.isNotNull()), unescape_basic)))
 
 
 def empty_if_null(col) -> Column:
@@ -89,23 +116,26 @@ def hidden_text_present(html) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _tag_names(html: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda t: F.lower(t))
-
-
 def html_parsing_error(html) -> Column:
-    """C3 (re-aimed): 0 for null html or balanced markup, 1 when the multiset
-    of opened non-void tags differs from the multiset of closed tags.
-    Raw-text blocks (script, style, comments) are ignored."""
-    h = F.regexp_replace(_c(html), RAW_TEXT_BLOCKS, " ")
-    opened = F.filter(
-        F.regexp_extract_all(h, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)[^>]*>"), 0),
-        lambda t: ~t.endswith("/>"))
-    names = F.transform(opened, lambda t: F.lower(F.regexp_extract(t, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)))
-    names = F.filter(names, lambda n: ~n.isin(*VOID_TAGS))
-    closed = F.filter(_tag_names(h, r"</([a-zA-Z][a-zA-Z0-9]*)"), lambda n: ~n.isin(*VOID_TAGS))
-    balanced = F.array_sort(names) == F.array_sort(closed)
-    return F.when(_c(html).isNull(), F.lit(0)).when(balanced, F.lit(0)).otherwise(F.lit(1))
+    """C3 (re-aimed): 0 for null html or properly nested markup, 1 where a tag
+    is closed that is not the last one open, or one stays open, -1 where bytes
+    could not be decoded (U+FFFD).  Void and self-closing tags, comments,
+    script and style are left out."""
+    marks = F.transform(F.filter(_tags(_c(html)), lambda t: ~t.endswith("/>")),
+                        lambda t: F.concat(F.when(t.startswith("</"), F.lit("/")).otherwise(F.lit("")), _tag_name(t)))
+    marks = F.filter(marks, lambda n: ~F.ltrim(n, F.lit("/")).isin(*VOID_TAGS))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(False).alias("bad"))
+
+    def step(state: Column, mark: Column) -> Column:
+        open_, depth = state["open"], F.size(state["open"])
+        fits = F.coalesce(F.concat(F.lit("/"), F.get(open_, depth - 1)) == mark, F.lit(False))
+        opened = F.struct(F.concat(open_, F.array(mark)).alias("open"), state["bad"].alias("bad"))
+        closed = F.struct(F.slice(open_, F.lit(1), F.greatest(depth - 1, F.lit(0))).alias("open"), (state["bad"] | ~fits).alias("bad"))
+        return F.when(state["bad"], state).when(mark.startswith("/"), closed).otherwise(opened)
+
+    wrong = F.aggregate(marks, start, step, lambda s: s["bad"] | (F.size(s["open"]) > 0))
+    return (F.when(_c(html).isNull(), F.lit(0)).when(F.contains(_c(html), F.lit("\ufffd")), F.lit(-1))
+            .when(wrong, F.lit(1)).otherwise(F.lit(0)))
 
 
 def count_matches(t, char_class: str) -> Column:

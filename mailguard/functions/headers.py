@@ -243,3 +243,13 @@ def number_of_received(received) -> Column:
 def return_path_domain(return_path) -> Column:
     """Text after the last ``@``, lower-cased."""
     return F.lower(F.element_at(F.split(_c(return_path), "@"), -1))
+
+
+def return_path_matches(return_path, from_domain) -> Column:
+    """The Return-Path domain is the sender's; either one missing -> false."""
+    return F.coalesce(return_path_domain(return_path) == F.lower(_c(from_domain)), F.lit(False))
+
+
+def attachment_types(content_types) -> Column:
+    """P8 where no dispositions are stored: the parts that are neither text nor containers; null stays null."""
+    return F.filter(_c(content_types), lambda t: ~t.startswith("text/") & ~t.startswith("multipart/"))

@@ -201,14 +201,28 @@ def text_clean(t: str) -> str:
             f"{q(C.CAUTION_TAG)}, ''), ' ')")
 
 
+# Markup by RE2, apart from the expressions it checks: blocks without visible text, tags, and the
+# href of a tag found by walking its attributes from the left.
+_QUOTED = r"""(?:[^'">]|"[^"]*"|'[^']*')*"""
+_BLOCKS = (r"(?is:<!--.*?(?:-->|\z)|<script\b" + _QUOTED + r">.*?(?:</script\s*>|\z)|<style\b" + _QUOTED + r">.*?(?:</style\s*>|\z))")
+_TAGS = r"</[a-zA-Z][^>]*>|<[a-zA-Z]" + _QUOTED + r">|<[a-zA-Z][^>]*>"
+_BEFORE = r"""^<[aA](?:[\s/]+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?[\s/]+(?i:href)"""
+
+
+def _unmarked(html: str) -> str:
+    return f"regexp_replace({html}, {q(_BLOCKS)}, '', 'g')"
+
+
 def hyperlinks(html: str) -> str:
-    return (f"list_sort(list_distinct(list_transform(regexp_extract_all(coalesce({html}, ''), "
-            f"{q(C.HREF)}, 1), lambda u: {unescape('u')})))")
+    tags = f"regexp_extract_all({_unmarked(f'coalesce({html}, {q(str())})')}, {q(_TAGS)}, 0)"
+    own = f"list_filter({tags}, lambda t: regexp_matches(t, {q(_BEFORE)}))"
+    value = " || ".join(f"coalesce(regexp_extract(t, {q(_BEFORE + part)}, 1), '')" for part in (
+        r"""\s*=\s*"([^"]*)\"""", r"""\s*=\s*'([^']*)'""", r"""\s*=\s*([^\s"'>]+)"""))
+    return f"list_sort(list_distinct(list_transform(list_transform({own}, lambda t: {value}), lambda u: {unescape('u')})))"
 
 
 def html_to_text(html: str) -> str:
-    body = f"regexp_replace({html}, {q(C.RAW_TEXT_BLOCKS)}, ' ', 'g')"
-    return unescape(f"regexp_replace({body}, '<[^>]*>', ' ', 'g')")
+    return unescape(f"regexp_replace({_unmarked(html)}, {q(_TAGS)}, '', 'g')")
 
 
 def non_ascii(t: str) -> str:
@@ -221,16 +235,18 @@ def hidden_text(h: str) -> str:
 
 
 def html_parsing_error(html: str) -> str:
-    h = f"regexp_replace({html}, {q(C.RAW_TEXT_BLOCKS)}, ' ', 'g')"
+    """Levels instead of a stack: a closing tag must equal the last earlier mark of its level, which must be open."""
     void = ", ".join(q(v) for v in C.VOID_TAGS)
-    opened = (f"list_filter(list_transform(list_filter(regexp_extract_all({h}, "
-              f"'<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 0), lambda t: NOT ends_with(t, '/>')), "
-              f"lambda t: lower(regexp_extract(t, '^<([a-zA-Z][a-zA-Z0-9]*)', 1))), "
-              f"lambda n: NOT list_contains([{void}], n))")
-    closed = (f"list_filter(list_transform(regexp_extract_all({h}, '</([a-zA-Z][a-zA-Z0-9]*)', 1), "
-              f"lambda t: lower(t)), lambda n: NOT list_contains([{void}], n))")
-    return (f"(CASE WHEN {html} IS NULL THEN 0 WHEN list_sort({opened}) = list_sort({closed}) "
-            f"THEN 0 ELSE 1 END)")
+    tags = f"list_filter(regexp_extract_all({_unmarked(html)}, {q(_TAGS)}, 0), lambda t: NOT ends_with(t, '/>'))"
+    marks = (f"list_filter(list_transform({tags}, lambda t: regexp_extract(lower(t), '^<(/?[a-z][^\\s/>]*)', 1)), "
+             f"lambda n: NOT list_contains([{void}], ltrim(n, '/')))")
+    sign = "list_transform(m, lambda x: CASE WHEN starts_with(x, '/') THEN -1 ELSE 1 END)"
+    level = f"list_transform(range(1, len(m) + 1), lambda i: list_sum({sign}[1:i]) + CASE WHEN starts_with(m[i], '/') THEN 1 ELSE 0 END)"
+    fits = ("list_transform(range(1, len(m) + 1), lambda i: NOT starts_with(m[i], '/') OR "
+            "coalesce('/' || m[list_max(list_filter(range(1, i), lambda j: v[j] = v[i]))] = m[i], false))")
+    fine = (f"list_transform([{marks}], lambda m: coalesce(list_sum({sign}), 0) = 0 AND list_transform([{level}], "
+            f"lambda v: coalesce(list_bool_and({fits}), true))[1])[1]")
+    return (f"(CASE WHEN {html} IS NULL THEN 0 WHEN contains({html}, chr(65533)) THEN -1 WHEN {fine} THEN 0 ELSE 1 END)")
 
 
 def word_count(t: str) -> str:

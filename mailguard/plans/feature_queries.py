@@ -12,6 +12,7 @@ from mailguard.operators import features as FE
 from mailguard.plans import duck as D
 from mailguard.plans.registry import register
 from mailguard.sources import fixtures as FX
+from mailguard.sources.tables import read_table
 
 
 def features_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +251,7 @@ SELECT path, text_clean,
   (text_clean = '' AND _mm = 0 AND _oth = 0 AND len(text_hyperlinks) = 0) AS empty_body,
   {D.hyperlink_prop('text_hyperlinks', 'word_count')} AS hyperlink_proportion,
   {D.has_pdf('content_types')} AS has_pdf,
-  coalesce(len(content_types) > 0, false) AS has_attachment,
+  coalesce(len(list_filter(content_types, lambda x: x[1:5] <> 'text/' AND x[1:10] <> 'multipart/')) > 0, false) AS has_attachment,
   coalesce(subject, '') AS subject_or_empty,
   {D.url_in_subject('subject')} AS url_present_in_subject,
   array_to_string(content_types, ' ') AS content_types_text
@@ -279,7 +280,7 @@ def content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "text_hyperlinks").alias("empty_body"),
         C.hyperlink_proportion("text_hyperlinks", "word_count").alias("hyperlink_proportion"),
         C.has_pdf("content_types").alias("has_pdf"),
-        H.has_attachment("content_types").alias("has_attachment"),
+        H.has_attachment(H.attachment_types("content_types")).alias("has_attachment"),
         C.empty_if_null("subject").alias("subject_or_empty"),
         H.url_present_in_subject("subject").alias("url_present_in_subject"),
         F.array_join("content_types", " ").alias("content_types_text"),
@@ -383,3 +384,25 @@ def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags dropped, basic entities decoded)."""
     return (FX.emails(spark, sf_dir).filter(F.col("text_html").isNotNull())
             .select("path", C.html_to_text("text_html").alias("visible_text")))
+
+
+# Fixed inputs appended to the pages, by page_id modulo their number: unquoted, commented, quoted and
+# upper-case links, crossed and wrongly ordered tags, and bytes that could not be decoded.
+MARKUP_CASES = (
+    "", "<a href=/plain?a=1&amp;b=2>x</a>", '<!-- <a href="/commented">c</a> -->', '<a title="a > b" href="/after">y</a>',
+    "<b><i>z</b></i>", "</p><p>", "<A data-href='no' HREF='/single'>s</A><a name=\"href=x\">none</a>", "\ufffd",
+    '<style>a > b {}</style><script>"<a href=/script>"</script>', '<br/><img src=x><a href="">empty</a>',
+)
+
+
+@register("markup_edge_cases", "WITH cases AS (SELECT [" + ", ".join(D.q(c) for c in MARKUP_CASES) + f"""] AS c),
+p AS (SELECT page_id, CASE WHEN page_id % 37 <> 5 THEN html || c[page_id % {len(MARKUP_CASES)} + 1] END AS h FROM pages, cases)
+SELECT page_id, array_to_string({D.hyperlinks('h')}, ' ') AS links, CAST({D.html_parsing_error('h')} AS BIGINT) AS html_parsing_error,
+  {D.html_to_text('h')} AS visible_text FROM p
+""", ops=("P6", "P7", "C3"))
+def markup_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, nesting errors and visible text of the pages with awkward markup behind each."""
+    case = F.get(F.array(*[F.lit(c) for c in MARKUP_CASES]), (F.col("page_id") % len(MARKUP_CASES)).cast("int"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 37 != 5, F.concat("html", case)).alias("h"))
+    return pages.select("page_id", F.array_join(C.hyperlinks("h"), " ").alias("links"),
+                        C.html_parsing_error("h").cast("long").alias("html_parsing_error"), C.html_to_text("h").alias("visible_text"))

@@ -71,14 +71,22 @@ DISPLAY_NAME = r'^\s*"?([^"<]*?)"?\s*<[^<>]*>\s*$'
 SELECT path, CASE WHEN from_email IS NULL THEN NULL ELSE 'Sender ' || split_part(from_email, '@', 1) END AS from_name,
   from_email AS from_addr,
   CASE WHEN from_email IS NULL THEN NULL ELSE lower(split_part(from_email, '@', 2)) END AS from_domain,
-  CASE WHEN from_email IS NULL THEN NULL ELSE lower(split_part(from_email, '@', 2)) END AS return_path_domain,
+  CASE WHEN from_email IS NULL THEN NULL WHEN reply_to_domain = 'evil.example.net' THEN 'evil.example.net'
+       ELSE lower(split_part(from_email, '@', 2)) END AS return_path_domain,
+  from_email IS NULL AS return_path_missing,
+  from_email IS NOT NULL AND coalesce(reply_to_domain, '') <> 'evil.example.net' AS return_path_match,
+  to_email, lower(split_part(to_email, '@', 2)) AS to_domain,
+  CASE WHEN content_types[1] = 'text/plain' THEN '' ELSE array_to_string(list_filter(content_types[2:],
+       lambda x: x NOT IN ('text/plain', 'text/html')), ' ') END AS attachment_types,
+  content_types[1] <> 'text/plain' AND len(list_filter(content_types[2:], lambda x: x NOT IN ('text/plain', 'text/html'))) > 0 AS has_attachment,
   split_part(path, '/', -2) AS ticket_id,
   len(list_filter(content_types, lambda x: starts_with(x, 'multipart/'))) > 0 AS is_multipart
 FROM emails
-""", ops=("P1", "P2", "P3", "P8", "P9", "H26"))
+""", ops=("P1", "P2", "P3", "P8", "P9", "H24", "H26"))
 def eml_sender_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display name, address and domain from the raw From header, the
-    Return-Path domain, the ticket id (parent folder) and the multipart flag."""
+    Return-Path domain and whether it is the sender's, the recipient, the
+    attachments, the ticket id (parent folder) and the multipart flag."""
     p = parsed_corpus(spark, sf_dir)
     name = F.nullif(F.regexp_extract("from_header", DISPLAY_NAME, 1), F.lit(""))
     addr = F.coalesce(F.nullif(F.regexp_extract("from_header", r"<([^<>]*)>", 1), F.lit("")),
@@ -89,7 +97,10 @@ def eml_sender_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         "path", F.when(F.col("from_header").isNotNull(), F.coalesce(name, F.col("from_header")))
         .alias("from_name"), addr.alias("from_addr"), dom.alias("from_domain"),
-        H.return_path_domain(rp).alias("return_path_domain"),
+        H.return_path_domain(rp).alias("return_path_domain"), F.col("return_path").isNull().alias("return_path_missing"),
+        H.return_path_matches(rp, dom).alias("return_path_match"), "to_email", F.col("to_email_domain").alias("to_domain"),
+        F.array_join("attachment_types", " ").alias("attachment_types"),
+        H.has_attachment("attachment_types").alias("has_attachment"),
         F.element_at(F.split("path", "/"), -2).alias("ticket_id"), "is_multipart")
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from mailguard.functions import content as C
 from mailguard.functions import text as TX
 
@@ -50,6 +52,25 @@ def test_hyperlinks_and_parsing(spark):
     assert one(spark, C.html_parsing_error("h"), h=None) == 0
 
 
+@pytest.mark.parametrize(("html", "links", "error", "text"), [
+    ("<a href=/u?x=1&amp;y=2>t</a>", ["/u?x=1&y=2"], 0, "t"),
+    ("<a href=/u/>t", ["/u/"], 0, "t"),
+    ('<a title="a > b" class=c href = "/q">t</a>', ["/q"], 0, "t"),
+    ("<a title='href=\"/no\"' data-href=/no>t</a>", [], 0, "t"),
+    ("<A\nHREF='/up'>t</A >", ["/up"], 0, "t"),
+    ('<!-- <a href="/c"> --><script>"<a href=/s>"</script><STYLE>p > a</STYLE>t', [], 0, "t"),
+    ('<abbr href="/n">t</abbr><a href="">u</a>', [""], 0, "tu"),
+    ("<b><i>t</b></i>", [], 1, "t"), ("</p><p>", [], 1, ""), ("<p></p></p><p>", [], 1, ""), ("<p><br>t<img src='>'/></p>", [], 0, "t"),
+    ("a < b &lt;c&gt;", [], 0, "a < b <c>"), ('<a href="/open>t</a>', [""], 1, "t"), ("<p>\ufffd</p>", [], -1, "\ufffd"),
+    ("<a " + "x " * 20000, [], 0, None), ("<p " + "a='1' " * 5000 + "><a href=/z></a></p>", ["/z"], 0, ""),
+])
+def test_markup_in_order(spark, html, links, error, text):
+    assert one(spark, C.hyperlinks("h"), h=html) == links
+    assert one(spark, C.html_parsing_error("h"), h=html) == error
+    if text is not None:
+        assert one(spark, C.html_to_text("h"), h=html) == text
+
+
 def test_content_count_and_empty_body(spark):
     cc = one(spark, C.content_count("t"), t=["multipart/mixed", "text/plain", "image/png",
                                             "application/pdf", "video/mp4"])

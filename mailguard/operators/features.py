@@ -245,3 +245,23 @@ def email_features(spark: SparkSession, mails: DataFrame, domain_ns: DataFrame,
     """Metadata build + feature table from a mail frame with a ``path`` column."""
     meta = build_metadata(spark, mails)
     return feature_table(meta, domain_ns, grammar, segments)
+
+
+def category_levels(train: DataFrame, cols: list[str]) -> DataFrame:
+    """``column, level`` of every non-null level that ``train`` has; the fitted side of ``align_dummies``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols]))
+    return train.select(pairs.alias("p")).select("p.*").where("level is not null").distinct()
+
+
+def align_dummies(df: DataFrame, levels: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``key, column, level, value``: one 0/1 row per key and level of the fitted ``levels``.
+
+    A level that only ``df`` has is dropped, one that only the fitted side has
+    is 0, and so is a null.  ``levels`` becomes one array per column (the
+    vocabulary of a categorical column), rows are not shuffled.
+    """
+    known = levels.groupBy("column").agg(F.sort_array(F.collect_set("level")).alias("levels"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("own")) for c in cols]))
+    rows = df.select(key, pairs.alias("p")).select(key, "p.*").join(F.broadcast(known), "column")     # one row per column
+    return (rows.select(key, "column", "own", F.explode("levels").alias("level"))
+            .select(key, "column", "level", F.coalesce((F.col("own") == F.col("level")).cast("int"), F.lit(0)).alias("value")))

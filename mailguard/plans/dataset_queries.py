@@ -316,3 +316,25 @@ def metrics_csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = IO.scratch_path(spark, "report")
     IO.write_csv_report(cm, path)
     return spark.read.option("header", True).csv(path)
+
+
+DUMMY_COLS = ["content_language", "reply_to_domain", "folder"]
+# Train and validation differ in their levels: languages other than French train, Spanish ones validate too; folders differ.
+_TRAIN, _VALID = "k % 3 <> 0 AND coalesce(content_language, '') <> 'fr'", "k % 3 = 0 AND coalesce(content_language, '') <> 'de'"
+
+
+@register("aligned_dummies", FX.duck_emails_cte() + f""",
+e AS (SELECT *, CAST(split_part(path, '/', -2) AS BIGINT) AS k FROM emails),
+long AS (UNPIVOT (SELECT path, k, content_language AS lang, content_language, reply_to_domain, folder FROM e)
+         ON {', '.join(DUMMY_COLS)} INTO NAME col VALUE level),
+levels AS (SELECT DISTINCT col, level FROM long WHERE {_TRAIN.replace('content_language', 'lang')}),
+valid AS (SELECT path FROM e WHERE {_VALID})
+SELECT v.path, l.col AS "column", l.level, CAST(count(o.level) AS INTEGER) AS value
+FROM valid v CROSS JOIN levels l LEFT JOIN long o ON o.path = v.path AND o.col = l.col AND o.level = l.level GROUP BY ALL
+""", ops=("J6",))
+def aligned_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dummies of the validation mails in the columns of the training mails:
+    levels absent from training are dropped, those absent from validation 0."""
+    mails = FX.emails(spark, sf_dir).withColumn("k", F.element_at(F.split("path", "/"), -2).cast("long"))
+    levels = FE.category_levels(mails.where(_TRAIN), DUMMY_COLS)
+    return FE.align_dummies(mails.where(_VALID), levels, "path", DUMMY_COLS)

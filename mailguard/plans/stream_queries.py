@@ -11,6 +11,7 @@ from mailguard.plans import model_queries as MQ
 from mailguard.plans.registry import register
 from mailguard.sources import files as IO
 from mailguard.sources import fixtures as FX
+from mailguard.sources import mime as MM
 from mailguard.sources.tables import table_path
 from mailguard.streaming import jobs as S
 
@@ -49,3 +50,49 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = IO.scratch_path(spark, "scored")
     S.run_append_to_parquet(scored, out, IO.scratch_path(spark, "scored-ckpt"))
     return spark.read.parquet(out)
+
+
+# A mail whose sender name decodes to a line break, which no address may hold.
+BROKEN_MAIL = (b"From: =?utf-8?q?a=0Ab?= <x@example.org>\r\nTo: y@example.org\r\nSubject: s\r\n\r\nbody\r\n")
+BROKEN_PATH = "/data/dataset/Spearphishing/broken/0_message.eml"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back."""
+    path = IO.scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fitted_stack(spark: SparkSession, sf_dir: str, base: str = "logistic") -> tuple:
+    """Base models of all families and the final model, on the training split."""
+    train = MQ.training_frame(spark, sf_dir).where(F.col("split") == "train")
+    _, bases, final = ML.oof_stack(train, base=base, final="logistic", k=3)
+    return bases, final
+
+
+@register("mail_file_stream", FX.duck_emails_cte() + f"""
+SELECT path, true AS scored, false AS failed FROM emails
+UNION ALL SELECT '{BROKEN_PATH}', false, true
+""", ops=("R4", "R3", "R1", "R2", "IO5", "M10"))
+def mail_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails arriving as .eml files, one of them broken, through parser, feature
+    plan and the stack of all families: whether each has a probability that
+    adds up to 1, or an error."""
+    stack = fitted_stack(spark, sf_dir)
+    mails = FX.emails(spark, sf_dir)
+    lookups = (stored(FX.domain_ns(spark, mails), "domain-ns"), stored(FX.grammar_matches(spark, mails), "grammar"),
+               stored(FX.lang_segments(spark, mails), "segments"))
+    root = IO.scratch_path(spark, "mail-arrivals")
+    MM.write_messages(mails, root)
+    fs, base = MM.shared_fs(root)
+    fs.create_dir((base + BROKEN_PATH).rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(base + BROKEN_PATH) as f:
+        f.write(BROKEN_MAIL)
+    out = IO.scratch_path(spark, "mail-scores")
+    S.score_mail_files(spark, root, stack, "logistic", *lookups, out, IO.scratch_path(spark, "mail-scores-ckpt"))
+    p = F.col("probability")
+    sums = F.abs(p["benign"] + p["malicious"] - 1) < 1e-9
+    return spark.read.parquet(out).select(
+        F.concat(F.lit("/data/"), F.substring_index("path", "/data/", -1)).alias("path"),
+        F.coalesce(sums & p["malicious"].between(0, 1), F.lit(False)).alias("scored"), F.col("_error").isNotNull().alias("failed"))

@@ -4,6 +4,9 @@
   the *same* feature plan as the batch job (stream-static joins with the
   lookup tables) and a fitted ``PipelineModel``; results land in a Parquet
   sink with a checkpoint, so a restarted query resumes exactly once.
+* R4 with R3 -- mail arriving as ``.eml`` files: a ``binaryFile`` stream;
+  every micro-batch is parsed once and scored by the function that scores a
+  batch, and a mail that cannot be parsed becomes a row with its error.
 * R5 -- monitoring: tumbling-window counts per key with a watermark, written
   in update mode through ``foreachBatch``; every micro-batch's updated rows
   are stored under their batch id and the reader keeps the newest value per
@@ -21,6 +24,8 @@ from pyspark.sql import types as T
 
 from mailguard.operators import features as FE
 from mailguard.operators import models as ML
+from mailguard.session import materialise
+from mailguard.sources import mime as MM
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str = "1 hour",
@@ -89,6 +94,43 @@ def score_stream(spark: SparkSession, incoming: DataFrame, model: PipelineModel,
         F.when(p.isNull(), F.lit("no score")).alias("_error"))
 
 
+def score_mails(parsed: DataFrame, stack: tuple, base: str, domain_ns: DataFrame, grammar: DataFrame, segments: DataFrame) -> DataFrame:
+    """R1 + R2 + R3: ``path, probability, _error`` of parsed mails; one that was not parsed has its error and no
+    probability.  ``stack``: the fitted base models and the final model of ``models.oof_stack``."""
+    meta = parsed.where("_error is null").select(
+        "*", *[F.lit(None).cast("string").alias(f"target_{i}") for i in (1, 2, 3)])
+    feats = ML.prepare(FE.feature_table(meta, domain_ns, grammar, segments))
+    p = F.col("p_malicious")
+    scored = ML.score_stack(feats, *stack, base).select(
+        "path", F.struct((1.0 - p).alias("benign"), p.alias("malicious")).alias("probability"), F.lit(None).cast("string").alias("_error"))
+    failed = parsed.where("_error is not null").select(
+        "path", F.lit(None).cast(scored.schema["probability"].dataType).alias("probability"), "_error")
+    return scored.unionByName(failed)
+
+
+# The columns of Spark's binaryFile source, which a stream must be told.
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def score_mail_files(spark: SparkSession, root: str, stack: tuple, base: str, domain_ns: DataFrame, grammar: DataFrame,
+                     segments: DataFrame, out_path: str, checkpoint: str, glob: str = "*.eml") -> None:
+    """Score every mail file that has arrived below ``root`` and not been scored yet.
+
+    Runs until all files present are done.  Each micro-batch is stored under
+    its id, so one that is run again after a failure replaces its rows.  The
+    lookups are static frames; pass stored tables.
+    """
+    mails = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", True).load(root))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        parsed = materialise(MM.parse_messages(batch.select(MM.local_path("path").alias("path"), "content")))
+        score_mails(parsed, stack, base, domain_ns, grammar, segments).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    q = (mails.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def run_append_to_parquet(stream: DataFrame, out_path: str, checkpoint: str) -> None:
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("path", out_path).option("checkpointLocation", checkpoint)

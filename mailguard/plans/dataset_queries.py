@@ -100,7 +100,7 @@ def split_proportion_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("label_encoding", NON_SELF + """
 , lv AS (SELECT DISTINCT target_3 FROM lab),
 idx AS (SELECT target_3, dense_rank() OVER (ORDER BY target_3) - 1 AS target_3_index FROM lv)
-SELECT l.path, CASE WHEN l.target_1 = 'malicious' THEN 1 ELSE 0 END AS target_1_code,
+SELECT l.path, CASE l.target_1 WHEN 'malicious' THEN 1 ELSE CASE WHEN l.target_1 IS NOT NULL THEN 0 END END AS target_1_code,
        CAST(i.target_3_index AS BIGINT) AS target_3_index
 FROM lab l JOIN idx i ON i.target_3 = l.target_3
 """, ops=("D7",))
@@ -110,24 +110,24 @@ def label_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = StringIndexer(inputCol="target_3", outputCol="_idx", stringOrderType="alphabetAsc",
                           handleInvalid="keep").fit(lab)
     return model.transform(lab).select(
-        "path", F.when(F.col("target_1") == "malicious", 1).otherwise(0).alias("target_1_code"),
+        "path", (F.col("target_1") == "malicious").cast("int").alias("target_1_code"),
         F.col("_idx").cast("long").alias("target_3_index"))
 
 
 @register("class_weights", NON_SELF + """
-, c AS (SELECT target_1, count(*) AS n_c FROM lab GROUP BY target_1),
+, c AS (SELECT target_1, count(*) AS n_c FROM lab WHERE target_1 IS NOT NULL GROUP BY target_1),
 w AS (SELECT target_1, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight FROM c)
-SELECT l.path, l.target_1, w.weight FROM lab l JOIN w ON w.target_1 = l.target_1
+SELECT l.path, l.target_1, w.weight FROM lab l LEFT JOIN w ON w.target_1 = l.target_1
 """, ops=("D8",))
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced class weight n / (k * n_class) on every row."""
+    """Balanced class weight n / (k * n_class) on every row; a mail without a target has none."""
     lab = non_self(spark, sf_dir)
-    per = lab.groupBy("target_1").agg(F.count(F.lit(1)).alias("n_c"))
+    per = lab.where("target_1 is not null").groupBy("target_1").agg(F.count(F.lit(1)).alias("n_c"))
     # one row per class: the global window is over k rows only
     allw = Window.partitionBy()
     w = per.select("target_1", F.round(F.sum("n_c").over(allw) / (F.count(F.lit(1)).over(allw)
                                                                    * F.col("n_c")), 6).alias("weight"))
-    return lab.join(F.broadcast(w), "target_1").select("path", "target_1", "weight")
+    return lab.join(F.broadcast(w), "target_1", "left").select("path", "target_1", "weight")
 
 
 @register("non_null_columns", FX.duck_emails_cte() + "\nUNION ALL\n".join(

@@ -40,10 +40,11 @@ _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 # through the tokenizer's own normalizer and pre-tokenizer.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 _WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ENDS = ",.;:!?"          # marks that are a word of their own behind letters
 NO_ID = 0xFFFFFFFF       # above every vocabulary id
 PIECE_END = NO_ID.to_bytes(4, "little")
 MEMO_PIECES = 500_000   # pieces whose ids a worker keeps; a memory bound, not a result bound
-MEMO_WORDS = 200_000    # words whose ids a worker keeps; likewise
+MEMO_WORDS = 300_000    # words whose ids a worker keeps; likewise
 
 
 def byte_symbols() -> dict[str, int]:
@@ -174,12 +175,21 @@ class PairIndexBpe:
             return
         if len(self.memo) + len(fresh) > MEMO_PIECES:      # what this batch holds stays
             self.memo = self.fixed | {p: self.memo[p] for p in pieces if p in self.memo}
-        plain, rest = [], []
+        plain, rest, whole, ended = [], [], [], []
         for p in fresh:
-            (plain if p.isascii() and p.isprintable() or _PLAIN.fullmatch(p) else rest).append(p)
+            if p.isascii():
+                if p.isalpha():                               # one word
+                    whole.append(p)
+                elif p[-1] in ENDS and p[:-1].isalpha():      # one word and its mark
+                    ended.append(p)
+                else:
+                    (plain if p.isprintable() else rest).append(p)
+            else:
+                (plain if _PLAIN.fullmatch(p) else rest).append(p)
+        lower, before = [p.lower() for p in whole], [p[:-1].lower() for p in ended]
         found = _WORDS.findall("\n".join(plain).lower() + "\n") if plain else []   # a line feed ends each piece
         split = [[bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.pre(self.normalize(p))] for p in rest]
-        every = dict.fromkeys(chain(found, *split))
+        every = dict.fromkeys(chain(found, lower, before, ENDS if ended else "", *split))
         if len(self.words) > MEMO_WORDS:
             self.words = {"\n": PIECE_END} | {w: self.words[w] for w in every if w in self.words}
         ids = self.words
@@ -191,6 +201,8 @@ class PairIndexBpe:
         for p, end in zip(plain, ends.tolist(), strict=True):
             self.memo[p] = joined[start:end]
             start = end + 4
+        self.memo.update(zip(whole, map(ids.__getitem__, lower), strict=True))
+        self.memo.update((p, ids[w] + ids[p[-1]]) for p, w in zip(ended, before, strict=True))
         for p, own in zip(rest, split, strict=True):
             self.memo[p] = b"".join([ids[i] for i in own])
 

@@ -103,8 +103,8 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, y: str, score: str,
                                           F.lit(1).alias("_is_t"))
     events = counts.withColumn("_is_t", F.lit(0)).unionByName(th)
     upto = running(events, [F.col("s").desc(), F.col("_is_t")], {"tp": F.col("pos"), "fp": F.col("neg")})
-    total = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = upto.filter(F.col("_is_t") == 1).join(F.broadcast(total))      # one row
+    total = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    cum = upto.filter(F.col("_is_t") == 1).withColumn("P", F.lit(total["P"])).withColumn("N", F.lit(total["N"]))
     fn = F.col("P") - F.col("tp")
     tn = F.col("N") - F.col("fp")
     return cum.select(

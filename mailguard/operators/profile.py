@@ -197,8 +197,10 @@ def rank_desc(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
                         .select(F.col(value).alias("_value"), F.col("_n"), (F.col("_upto") - F.col("_n") + 1).cast("long").alias(out)))
     known = weighted_lookup(df.where(F.col(value).isNotNull()), ranks.withColumnRenamed("_value", value).where(F.col(value).isNotNull()),
                             [value], "_n", "left")
-    last = ranks.where("_value is null").select(out)                     # one row at most
-    return known.unionByName(df.where(F.col(value).isNull()).join(F.broadcast(last)))
+    last = ranks.where("_value is null").first()
+    if last is None:
+        return known
+    return known.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(last[out]).cast("long")))
 
 
 def nearest(df: DataFrame, col: str, target: float, cols: list[str]) -> DataFrame:

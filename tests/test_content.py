@@ -61,7 +61,7 @@ def test_hyperlinks_and_parsing(spark):
     ('<!-- <a href="/c"> --><script>"<a href=/s>"</script><STYLE>p > a</STYLE>t', [], 0, "t"),
     ('<abbr href="/n">t</abbr><a href="">u</a>', [""], 0, "tu"),
     ("<b><i>t</b></i>", [], 1, "t"), ("</p><p>", [], 1, ""), ("<p></p></p><p>", [], 1, ""), ("<p><br>t<img src='>'/></p>", [], 0, "t"),
-    ("a < b &lt;c&gt;", [], 0, "a < b <c>"), ('<a href="/open>t</a>', [""], 1, "t"), ("<p>\ufffd</p>", [], -1, "\ufffd"),
+    ("a < b &lt;c&gt;", [], 0, "a < b <c>"), ('<a href="/open>t</a>', [""], 0, "t"), ("<p>\ufffd</p>", [], -1, "\ufffd"),
     ("<a " + "x " * 20000, [], 0, None), ("<p " + "a='1' " * 5000 + "><a href=/z></a></p>", ["/z"], 0, ""),
 ])
 def test_markup_in_order(spark, html, links, error, text):

@@ -225,22 +225,27 @@ def llm_think_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("conv_id", "turn", TX.strip_think("raw").alias("answer"))
 
 
-ANSWER_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
-                              T.StructField("confidence", T.StringType()),
-                              T.StructField("reasons", T.ArrayType(T.StringType()))])
+# The two answer formats (level column, its values, reasons column).
 LABELS = ("benign", "malicious")
-CONFIDENCES = ("high", "medium", "low")
+ANSWER = ("confidence", ("high", "medium", "low"), "reasons")
+SUMMARY = ("confidence_level", ("not confident", "somewhat confident", "confident", "extremely confident"),
+           "justification")
 
 
-def parse_answers(raw: DataFrame, col: str = "raw") -> DataFrame:
+def parse_answers(raw: DataFrame, col: str = "raw", form: tuple = ANSWER) -> DataFrame:
     """Parse model JSON answers (PERMISSIVE: malformed -> nulls) and check
-    the label and confidence enums and that exactly three reasons are given."""
-    p = raw.withColumn("_a", F.from_json(col, ANSWER_SCHEMA, {"mode": "PERMISSIVE"}))
+    the label and confidence enums and that exactly three reasons are given, none of them null."""
+    level, levels, reasons = form
+    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField(level, T.StringType()),
+                           T.StructField(reasons, T.ArrayType(T.StringType()))])
+    p = raw.withColumn("_a", F.from_json(col, schema, {"mode": "PERMISSIVE"}))
+    given = F.col(f"_a.{reasons}")
     return p.select(
-        "*", F.col("_a.label").alias("label"), F.col("_a.confidence").alias("confidence"),
-        F.size("_a.reasons").cast("long").alias("n_reasons"),
-        F.coalesce(F.col("_a.label").isin(*LABELS) & F.col("_a.confidence").isin(*CONFIDENCES)
-                   & (F.size("_a.reasons") == 3), F.lit(False)).alias("valid")).drop("_a", col)
+        "*", F.col("_a.label").alias("label"), F.col(f"_a.{level}").alias(level),
+        F.size(given).cast("long").alias(f"n_{reasons}"),
+        F.coalesce(F.col("_a.label").isin(*LABELS) & F.col(f"_a.{level}").isin(*levels)
+                   & (F.size(given) == 3) & ~F.exists(given, lambda x: x.isNull()),
+                   F.lit(False)).alias("valid")).drop("_a", col)
 
 
 ANSWER_SPARK = """CASE WHEN turn % 7 = 6 THEN '{"label": "benign", "confid' ELSE
@@ -266,6 +271,35 @@ def llm_answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_answers(a)
 
 
+SUMMARY_SPARK = """CASE turn % 5
+  WHEN 4 THEN concat('{"label": "malicious", "confidence_level": ["confident"', '}')
+  ELSE to_json(named_struct('label', CASE turn % 3 WHEN 0 THEN 'malicious' WHEN 1 THEN 'benign' ELSE 'Benign' END,
+    'confidence_level', element_at(array('not confident', 'somewhat confident', 'confident', 'extremely confident', 'high'),
+                                   CAST(length(text) % 5 AS INT) + 1),
+    'justification', CASE turn % 4 WHEN 2 THEN array('a', text) WHEN 3 THEN CAST(NULL AS ARRAY<STRING>)
+                     ELSE array(text, 'b', 'c') END)) END"""
+
+
+@register("llm_summary_parse", """
+WITH a AS (SELECT conv_id, turn, turn % 5 = 4 AS broken,
+  CASE turn % 3 WHEN 0 THEN 'malicious' WHEN 1 THEN 'benign' ELSE 'Benign' END AS label,
+  ['not confident', 'somewhat confident', 'confident', 'extremely confident', 'high'][length(text) % 5 + 1] AS confidence_level,
+  CAST(CASE turn % 4 WHEN 2 THEN 2 WHEN 3 THEN NULL ELSE 3 END AS BIGINT) AS n_justification
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN NOT broken THEN label END AS label,
+  CASE WHEN NOT broken THEN confidence_level END AS confidence_level,
+  CASE WHEN NOT broken THEN n_justification END AS n_justification,
+  NOT broken AND label <> 'Benign' AND confidence_level <> 'high' AND coalesce(n_justification, 0) = 3 AS valid
+FROM a
+""", ops=("T18",))
+def llm_summary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model summaries in the second answer format, some with a wrong label, level or number of
+    reasons, some cut off, parsed and validated."""
+    a = conversations(spark, sf_dir).filter(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.expr(SUMMARY_SPARK).alias("raw"))
+    return parse_answers(a, form=SUMMARY)
+
+
 @register("truncate_content", """
 SELECT conv_id, turn, CASE WHEN length(text) > 400 THEN left(text, 400) || '...[content truncated]' ELSE text END AS content,
        length(text) > 400 AS truncated FROM conversations

@@ -6,7 +6,8 @@ every chain of ``l`` consecutive segments differs in at most
 ``l * distance / m`` bits.  So the first segment of the chain is equal and the
 first two differ in at most one bit: that pair of segments is the join key,
 with one bit of the second segment set where it is clear on the probing side.
-The longer chains are checked next, then the whole Hamming distance.
+Residents of a key are compared with one another and with its probes, never
+two probes.  The longer chains are checked next, then the whole Hamming distance.
 
 Buckets give a spanning forest of their links, never all pairs.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailguard.llm.common import connected_components, cut, slices, small_batches
@@ -72,24 +73,57 @@ def _signed(x: int) -> int:
 
 
 def keyed(fps: DataFrame, distance: int, probes: bool) -> DataFrame:
-    """Rows ``chain, part, fp, rep``: the key's two segments as bits in place; with ``probes`` also
-    the keys with one more bit set in the chain's second segment."""
+    """Rows ``chain, part, home, fp, rep``: the key's two segments as bits in place; with ``probes`` also
+    the keys with one more bit set in the chain's second segment, where the fingerprint is no resident
+    (``home`` false)."""
     segs, out = segments(distance), []
     for i, first in enumerate(segs):
         second = segs[(i + 1) % len(segs)]
         own = F.col("fp").bitwiseAND(F.lit(_signed(_mask(first) | _mask(second))))
-        out.append(F.struct(F.lit(i).alias("chain"), own.alias("part")))
-        if probes and len(segs) > 1:
-            for bit in range(second[0], second[0] + second[1]):
-                flag = F.lit(_signed(1 << bit))
-                free = F.col("fp").bitwiseAND(flag) == F.lit(0)
-                out.append(F.when(free, F.struct(F.lit(i).alias("chain"), own.bitwiseOR(flag).alias("part"))))
+        out.append(F.struct(F.lit(i).alias("chain"), own.alias("part"), F.lit(True).alias("home")))
+        if probes:
+            out += [F.when(free, F.struct(F.lit(i).alias("chain"), key.alias("part"), F.lit(False).alias("home")))
+                    for free, key in _one_more(own, i, distance)]
     return (fps.select("fp", "rep", F.explode(F.array(*out)).alias("k")).where("k is not null")
-            .select(F.col("k.chain").alias("chain"), F.col("k.part").alias("part"), "fp", "rep"))
+            .select("k.chain", "k.part", "k.home", "fp", "rep"))
 
 
-def forest(fp: np.ndarray, chain: int, distance: int) -> list[tuple[int, int]]:
-    """Index pairs that span the links among the fingerprints of one bucket.
+def _one_more(part: Column, chain: int, distance: int) -> list[tuple[Column, Column]]:
+    """(whether the bit is clear, the key with it set) for each bit of the chain's second segment."""
+    segs = segments(distance)
+    if len(segs) == 1:
+        return []
+    low, width = segs[(chain + 1) % len(segs)]
+    flags = [F.lit(_signed(1 << bit)) for bit in range(low, low + width)]
+    return [(part.bitwiseAND(flag) == F.lit(0), part.bitwiseOR(flag)) for flag in flags]
+
+
+def crowded(fps: DataFrame, distance: int, block: int) -> DataFrame:
+    """``chain, part, xs, ys`` of every key that more than ``block`` rows may have, residents or probes:
+    the numbers of blocks that hold at most about ``block`` residents and ``block`` rows.
+
+    The probes of a key are the residents of the keys with one bit less.  So a
+    key of more than ``block`` rows has a source, itself or one of those, with
+    more than its share of them; only such keys are spread to what they probe.
+    """
+    widest = max(width for _, width in segments(distance))
+    share = block // (widest + 1)
+    full = (keyed(fps, distance, probes=False).groupBy("chain", "part").agg(F.count("*").alias("n"))
+            .where(F.col("n") > share))
+    part = F.col("part")
+    reached = [F.when(F.col("chain") == i, F.array(
+        F.struct(part.alias("part"), F.col("n").alias("own")),
+        *[F.when(free, F.struct(key.alias("part"), F.lit(0).cast("long").alias("own")))
+          for free, key in _one_more(part, i, distance)])) for i in range(len(segments(distance)))]
+    return (full.select("chain", "n", F.explode(F.coalesce(*reached)).alias("k")).where("k is not null")
+            .groupBy("chain", "k.part").agg(F.sum("k.own").alias("own"), F.sum("n").alias("n"))
+            .select("chain", "part", F.greatest(F.lit(1), F.ceil((F.col("own") + share) / block).cast("int")).alias("xs"),
+                    F.ceil((F.col("n") + widest * share) / block).cast("int").alias("ys")))
+
+
+def forest(fp: np.ndarray, home: np.ndarray, chain: int, distance: int) -> list[tuple[int, int]]:
+    """Index pairs that span the links of the residents (``home``) of one bucket with one another and with
+    its probes; two probes are never compared, as each pair has a bucket in which one of them resides.
 
     Breadth first; what has been reached is not compared again, so a bucket of
     near copies costs little more than its size.
@@ -98,33 +132,36 @@ def forest(fp: np.ndarray, chain: int, distance: int) -> list[tuple[int, int]]:
     m = len(segs)
     masks = [np.uint64(sum(_mask(segs[(chain + j) % m]) for j in range(n))) for n in range(3, m)]
     budgets = [n * distance // m for n in range(3, m)]
-    left, edges = np.arange(len(fp)), []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
+    left, edges = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)]), []
+    residents = int(home.sum())        # the first of ``left``
+    while residents:
+        queue, left, residents = [int(left[0])], left[1:], residents - 1
         while queue and len(left):
             at = queue.pop()
-            diff = fp[left] ^ fp[at]
-            keep = np.ones(len(left), bool)
+            pool = left if home[at] else left[:residents]
+            diff = fp[pool] ^ fp[at]
+            keep = np.ones(len(pool), bool)
             for mask, budget in zip(masks, budgets, strict=True):
                 keep &= np.bitwise_count(diff & mask) <= budget
             near = np.zeros(len(left), bool)
-            near[keep] = np.bitwise_count(diff[keep]) <= distance
+            near[:len(pool)][keep] = np.bitwise_count(diff[keep]) <= distance
             if near.any():
                 found = left[near].tolist()
                 edges += [(at, x) for x in found]
                 queue += found
+                residents -= int(near[:residents].sum())
                 left = left[~near]
     return edges
 
 
 def _bucket_edges(distance: int):
-    """mapInArrow function over rows sorted by their first columns (the bucket), then ``fp, rep``."""
+    """mapInArrow function over rows sorted by their first columns (the bucket), then ``home, fp, rep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def settle(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
-            *key, fp, rep = cols
+            *key, home, fp, rep = cols
             new = np.zeros(len(fp), bool)
             for k in key:
                 new[1:] |= k[1:] != k[:-1]
@@ -134,22 +171,26 @@ def _bucket_edges(distance: int):
             if not last:
                 starts, ends = starts[:-1], ends[:-1]
             a, b = [], []
-            many = ends - starts > 1
-            for s, e in zip(starts[many], ends[many], strict=True):
-                u, first = np.unique(fp[s:e], return_index=True)
+            done = int(ends[-1]) if len(ends) else 0
+            meet = ends - starts > 1
+            if done:
+                meet &= np.logical_or.reduceat(home[:done], starts)
+            for s, e in zip(starts[meet], ends[meet], strict=True):
+                u, first, place = np.unique(fp[s:e], return_index=True, return_inverse=True)
                 if len(u) > 1:
-                    reps = rep[s:e][first]
-                    for x, y in forest(u.view(np.uint64), int(key[0][s]), distance):
+                    reps, lives = rep[s:e][first], np.zeros(len(u), bool)
+                    lives[place[home[s:e]]] = True
+                    for x, y in forest(u.view(np.uint64), lives, int(key[0][s]), distance):
                         a.append(reps[x])
                         b.append(reps[y])
-            done = ends[-1] if len(ends) else 0
             out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             return [c[done:] for c in cols], out
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[-3] = cols[-3].astype(bool)
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if len(held[0]) and any(k[0] != k[-1] for k in held[:-2]):
+            if len(held[0]) and any(k[0] != k[-1] for k in held[:-3]):
                 held, out = settle(held, False)
                 if out.num_rows:
                     yield out
@@ -162,23 +203,26 @@ def _bucket_edges(distance: int):
 def links(fps: DataFrame, distance: int = 3, hot_rows: int = 4096) -> DataFrame:
     """Edges ``a, b`` between representatives whose components are those of all links.
 
-    ``fps``: distinct ``fp`` with its ``rep``.  A key with more than
-    ``hot_rows`` resident fingerprints is dealt out as pairs of blocks, so no
-    task gets it whole.
+    ``fps``: distinct ``fp`` with its ``rep``.  A key that may have more than
+    ``hot_rows`` rows, resident or probing, is dealt out as pairs of a block of
+    residents and a block of rows, so no task gets it whole.
     """
-    home = keyed(fps, distance, probes=False)
-    hot = cut(home.groupBy("chain", "part").count().where(F.col("count") > hot_rows))
+    hot = cut(crowded(fps, distance, hot_rows))
     n_hot = hot.count()
     hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
     rows = keyed(fps, distance, probes=True)
     run = _bucket_edges(distance)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = (rows.join(hot, ["chain", "part"], "left_anti").repartition(n, "chain", "part")
-            .sortWithinPartitions("chain", "part").select("chain", "part", "fp", "rep").mapInArrow(run, "a long, b long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    warm = (rows.join(hot, ["chain", "part"]).withColumn("blocks", F.ceil(F.col("count") / hot_rows).cast("int"))
-            .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("chain", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "rep")
+            .sortWithinPartitions("chain", "part").select("chain", "part", "home", "fp", "rep").mapInArrow(run, "a long, b long"))
+    x, y = F.pmod(F.xxhash64("fp"), F.col("xs")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(7)), F.col("ys")).cast("int")
+    resides = F.transform(F.sequence(F.lit(0), F.col("ys") - 1),
+                          lambda j: F.struct(x.alias("x"), j.alias("y"), F.lit(True).alias("home")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("xs") - 1),
+                        lambda i: F.struct(i.alias("x"), y.alias("y"), F.lit(False).alias("home")))
+    warm = (rows.join(hot, ["chain", "part"])
+            .select("chain", "part", "fp", "rep", F.explode(F.when(F.col("home"), F.concat(resides, meets)).otherwise(meets)).alias("k"))
+            .select("chain", "part", "k.x", "k.y", "k.home", "fp", "rep")
             .repartition(n, "chain", "part", "x", "y").sortWithinPartitions("chain", "part", "x", "y")
             .mapInArrow(run, "a long, b long"))
     return cold.union(warm)

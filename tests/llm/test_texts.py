@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mailguard.llm import bpe, packing, pii, quality, simhash, suffix_dedup, toxicity
@@ -82,6 +83,43 @@ def test_simhash_against_all_pairs(spark, texts):
         assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", comp[i]) for i in fps}
 
 
+def test_simhash_probes_of_a_crowded_key(spark):
+    """400 fingerprints share a key and probe its neighbours: every block stays small, no link is lost."""
+    rng = np.random.default_rng(5)
+    home = rng.integers(0, 1 << 32, 400, dtype=np.uint64) << np.uint64(32) | np.uint64(0x0F0F_1234)
+    near = home[:60] ^ (np.uint64(1) << rng.integers(16, 32, 60).astype(np.uint64))     # one bit off in segment 1
+    near[:30] ^= np.uint64(1 << 40) | np.uint64(1 << 41)                               # and two beyond
+    fps = np.unique(np.concatenate([home, near, near[30:] ^ np.uint64(0b1111)]))
+    rows = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    block = 64
+    hot = {(r.chain, r.part): (r.xs, r.ys) for r in simhash.crowded(rows, 3, block).collect()}
+    counts = (simhash.keyed(rows, 3, probes=True).groupBy("chain", "part")
+              .agg(F.count_if("home").alias("own"), F.count("*").alias("n")).collect())
+    for r in counts:
+        xs, ys = hot.get((r.chain, r.part), (1, 1))
+        assert r.own <= xs * block and r.n <= ys * block
+    assert sum(1 for r in counts if r.n > block and r.own < 60) >= 8      # neighbours crowded by probes alone
+
+    def components(pairs):
+        comp = list(range(len(fps)))
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                low = min(comp[a], comp[b])
+                if comp[a] != low or comp[b] != low:
+                    comp[a] = comp[b] = low
+                    changed = True
+        return comp
+
+    brute = [(a, b) for a in range(len(fps)) for b in range(a) if int(fps[a] ^ fps[b]).bit_count() <= 3]
+    assert len(brute) >= 60
+    for size in (4096, block):
+        edges = [(r.a, r.b) for r in simhash.links(rows, 3, size).collect()]
+        assert all(int(fps[a] ^ fps[b]).bit_count() <= 3 for a, b in edges)
+        assert components(edges) == components(brute)
+
+
 def test_simhash_on_awkward_rows(edge_docs):
     got = simhash.near_duplicates(edge_docs).collect()
     assert len(got) == edge_docs.count()

@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailguard.llm.common import connected_components, cut
+from mailguard.operators.joins import weighted_lookup
 
 SAMPLE = 16_384     # vectors that codebooks are fitted on, at most
 BLOCK = 1024        # rows of one side of a comparison
@@ -52,21 +54,33 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
 
 
-def bounds(x: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Own codeword of each row, and squared lower bounds of its distance to every codeword's cell."""
+def spacing(centres: np.ndarray) -> np.ndarray:
+    """Distances between the codewords."""
+    return np.sqrt(_squares(centres, centres))
+
+
+def bounds(x: np.ndarray, centres: np.ndarray, radii: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Own codeword of each row, and squared lower bounds of its distance to every codeword's cell;
+    ``spaces`` is the codewords' ``spacing``."""
     sq = _squares(x, centres)
     own = sq.argmin(1)
     least = np.take_along_axis(sq, own[:, None], 1)
-    apart = np.sqrt(_squares(centres, centres))[own]
+    apart = spaces[own]
     bisector = np.divide(sq - least, 2 * apart, out=np.zeros_like(sq), where=apart > 1e-9)
     low = np.maximum(np.maximum(bisector, np.sqrt(sq) - radii), 0)
     low[np.arange(len(x)), own] = 0
     return own, np.maximum(low - 1e-7, 0) ** 2
 
 
+def _ascending(low: np.ndarray, limit: float, least: int) -> np.ndarray:
+    """Codewords by ascending bound, as far as a cell of the traversal can have them."""
+    near = np.flatnonzero(low <= limit)
+    return near[low[near].argsort(kind="stable")] if len(near) >= least else low.argsort(kind="stable")
+
+
 def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float, least: int = 1) -> list[tuple[int, int]]:
     """Cells (i, j) in ascending ``a[i] + b[j]`` up to ``limit``, but ``least`` cells at the fewest."""
-    oa, ob = a.argsort(kind="stable"), b.argsort(kind="stable")
+    oa, ob = _ascending(a, limit, least), _ascending(b, limit, least)
     sa, sb = a[oa].tolist(), b[ob].tolist()
     heap, out = [(sa[0] + sb[0], 0, 0)], []
     while heap and (heap[0][0] <= limit or len(out) < least):
@@ -80,26 +94,37 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float, least: int = 1) -
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), dim)
+    """Unit vectors of a binary column of scaled ones."""
+    x = np.frombuffer(b"".join(col.to_pylist()), "<f8").reshape(len(col), dim)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: the vector over its largest component (so that squares stay finite); null if it is
-    null, empty, zero or holds a null or non-finite component, or if the id is null."""
+    """``id, v``: the vector over its largest component (so that squares stay finite), as the bytes of its
+    doubles, so equal vectors group and join as plain bytes; null if it is null, empty, zero or holds a
+    null or non-finite component, or if the id is null.  Materialised: it is read three times."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    big = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    rows = rows.withColumn("big", F.when(F.col("id").isNotNull() & fine, big))
-    return rows.select("id", F.when(F.col("big") > 0, F.transform("v", lambda x: x / F.col("big"))).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, v = b.columns
+            sizes = pc.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False)
+            # An inner null becomes NaN here; zero is added so that -0.0 and 0.0 have the same bytes.
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ends = np.cumsum(sizes)
+            out = []
+            for known, s, e in zip(ids.is_valid().to_pylist(), ends - sizes, ends, strict=True):
+                big = np.abs(x[s:e]).max() if e > s else 0.0
+                out.append((x[s:e] / big + 0.0).astype("<f8").tobytes() if known and 0 < big < np.inf else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["id", "v"])
+
+    return cut(rows.mapInArrow(run, "id long, v binary"))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """``cid, rep`` (smallest id), ``n, v, unit`` per distinct vector; materialised, so ``cid`` stays."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    """``cid, rep`` (smallest id), ``n, v`` per distinct vector; materialised, so ``cid`` stays."""
     return cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-               .withColumn("norm", norm)
-               .select(F.monotonically_increasing_id().alias("cid"), "rep", "n", "v",
-                       F.transform("v", lambda x: x / F.col("norm")).alias("unit")))
+               .select(F.monotonically_increasing_id().alias("cid"), "rep", "n", "v"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = SAMPLE, occupancy: int = 8,
@@ -120,12 +145,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
     """
     rows = scaled(vectors, id_col, vector_col)
     classes = classes_of(rows)
-    dims = [r["d"] for r in classes.select(F.size("unit").alias("d")).distinct().orderBy("d").limit(1001).collect()]
+    dims = [r["d"] for r in classes.select((F.length("v") / 8).cast("int").alias("d")).distinct().orderBy("d").limit(1001).collect()]
     if len(dims) > 1000:
         raise ValueError("over 1000 different vector lengths")
     found = rows.sparkSession.createDataFrame([], "a long, b long, n long")
     for d in dims:
-        found = found.union(_links(classes.where(F.size("unit") == d), d, threshold, sample, occupancy, block, target_recall, queries))
+        found = found.union(_links(classes.where(F.length("v") == 8 * d), d, threshold, sample, occupancy, block, target_recall, queries))
     found = cut(found)
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     comp = connected_components(found.where("b is not null").select("a", "b"))
@@ -147,42 +172,44 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
     sc = classes.sparkSession.sparkContext
     total = classes.count()
     half = dim // 2
-    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("unit").toArrow().column(0).combine_chunks()
+    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("v").toArrow().column(0).combine_chunks()
     train = _matrix(picked, dim)
-    k = max(1, min(256, len(train) // 8, round((total / occupancy) ** 0.5)))
+    k = max(1, min(len(train) // 8, round((total / occupancy) ** 0.5)))
     books = sc.broadcast((codebook(train[:, :half], k), codebook(train[:, half:], k)) if half else None)
     limit = 2 - 2 * threshold + 1e-9     # squared distance of unit vectors at the threshold
 
     def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = [np.zeros(len(c)) for c in books.value]
-        for b in batches:
-            x = _matrix(b.column(0), dim)
-            for t, c, own in zip(top, books.value, (x[:, :half], x[:, half:]), strict=True):
-                sq = _squares(own, c)
-                np.maximum.at(t, sq.argmin(1), np.sqrt(sq.min(1)))
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                x = _matrix(big.column(0).slice(at, 512), dim)
+                for t, c, own in zip(top, books.value, (x[:, :half], x[:, half:]), strict=True):
+                    sq = _squares(own, c)
+                    np.maximum.at(t, sq.argmin(1), np.sqrt(sq.min(1)))
         rows = [(i, j, r) for i, t in enumerate(top) for j, r in enumerate(t)]
         i, j, r = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(r)], names=["i", "j", "r"])
 
     if not half:   # one component: all unit vectors are +1 or -1, classes of equal vectors say it all
         return classes.sparkSession.createDataFrame([], "a long, b long, n long")
-    tops = classes.select("unit").mapInArrow(radii, "i int, j int, r double").groupBy("i", "j").agg(F.max("r").alias("r"))
+    tops = classes.select("v").mapInArrow(radii, "i int, j int, r double").groupBy("i", "j").agg(F.max("r").alias("r"))
     reach = [np.zeros(k), np.zeros(k)]
     for i, j, r in tops.collect():       # two rows for each codeword
         reach[i][j] = r
     reach_b = sc.broadcast(reach)
     if target_recall < 1:
-        asked = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(queries).select("cid", "unit").toArrow()
-        limit = _measured_limit(classes, asked, dim, total, books, reach_b, threshold, limit, target_recall)
+        asked = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(queries).select("cid", "v").toArrow()
+        limit = _measured_limit(classes, asked, dim, books, reach_b, threshold, limit, target_recall)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (c1, c2), (r1, r2) = books.value, reach_b.value
+        s1, s2 = spacing(c1), spacing(c2)
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
                 x = _matrix(b.column(2), dim)
-                own1, low1 = bounds(x[:, :half], c1, r1)
-                own2, low2 = bounds(x[:, half:], c2, r2)
+                own1, low1 = bounds(x[:, :half], c1, r1, s1)
+                own2, low2 = bounds(x[:, half:], c2, r2, s2)
                 rows, cells, homes = [], [], []
                 for i in range(len(x)):
                     home = int(own1[i]) * k + int(own2[i])
@@ -191,33 +218,36 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int, occupanc
                             rows.append(i)
                             cells.append(p * k + q)
                             homes.append(p * k + q == home)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in b.columns), pa.array(cells, pa.int32()),
-                                                  pa.array(homes)], names=["cid", "n", "unit", "cell", "home"])
-
-    visits = cut(classes.select("cid", "n", "unit").mapInArrow(visit, "cid long, n long, unit array<double>, cell int, home boolean"))
-    sizes = visits.groupBy("cell").agg(F.count_if("home").alias("own"), F.count("*").alias("rows")).where("own > 0 and rows > 1")
+                for s in range(0, len(rows), 4096):
+                    took = b.take(pa.array(rows[s:s + 4096]))
+                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cells[s:s + 4096], pa.int32()),
+                                                      pa.array(homes[s:s + 4096])], names=["cid", "n", "v", "cell", "home"])
+
+    visits = cut(classes.select("cid", "n", "v").mapInArrow(visit, "cid long, n long, v binary, cell int, home boolean"))
+    sizes = cut(visits.groupBy("cell").agg(F.count_if("home").alias("own"), F.count("*").alias("rows")).where("own > 0 and rows > 1")
+                .withColumn("weight", F.col("rows")))
     # A cell's residents and visitors meet in blocks (x, y): residents of block x with everybody of block y.
-    dealt = (visits.join(sizes.select("cell", "own", "rows"), "cell")
+    dealt = (weighted_lookup(visits, sizes, ["cell"], "weight")
              .withColumn("xs", F.ceil(F.col("own") / block).cast("int")).withColumn("ys", F.ceil(F.col("rows") / block).cast("int"))
              .withColumn("hx", F.pmod(F.xxhash64("cid"), F.col("xs")).cast("int"))
              .withColumn("hy", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("ys")).cast("int")))
     left = dealt.where("home").select("cell", F.col("hx").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"),
-                                      F.lit(True).alias("left"), "home", "cid", "n", "unit")
+                                      F.lit(True).alias("left"), "home", "cid", "n", "v")
     right = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.col("hy").alias("y"),
-                         F.lit(False).alias("left"), "home", "cid", "n", "unit")
+                         F.lit(False).alias("left"), "home", "cid", "n", "v")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (left.union(right).repartition(n, "cell", "x", "y").sortWithinPartitions("cell", "x", "y")
             .mapInArrow(_verify(dim, threshold), "a long, b long, n long"))
 
 
-def _measured_limit(classes: DataFrame, asked: pa.Table, dim: int, total: int, books, reach, threshold: float, limit: float,
+def _measured_limit(classes: DataFrame, asked: pa.Table, dim: int, books, reach, threshold: float, limit: float,
                     target: float) -> float:
     """Bound up to which every link of the vectors ``asked`` lies, measured against all rows.
 
     Each linked vector counts once, by its farthest link, however many links it
     has.  With n of them drawn at random, the expected share of linked vectors
     that have a link beyond the largest is 1 / (n + 1).  So fewer than
-    1 / (1 - target) keep the whole ``limit``, unless all vectors were asked.
+    1 / (1 - target) keep the whole ``limit``.
     """
     unit = _matrix(asked.column(1).combine_chunks(), dim)
     half = dim // 2
@@ -225,7 +255,8 @@ def _measured_limit(classes: DataFrame, asked: pa.Table, dim: int, total: int, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (c1, c2), (r1, r2), (cid, q) = books.value, reach.value, held.value
-        (q1, low1), (q2, low2) = bounds(q[:, :half], c1, r1), bounds(q[:, half:], c2, r2)
+        s1, s2 = spacing(c1), spacing(c2)
+        (q1, low1), (q2, low2) = bounds(q[:, :half], c1, r1, s1), bounds(q[:, half:], c2, r2, s2)
         far, q, order = np.full(len(q), -1.0), q.astype(np.float32), np.argsort(cid)
         for big in batches:
             for at in range(0, big.num_rows, 256):
@@ -237,7 +268,7 @@ def _measured_limit(classes: DataFrame, asked: pa.Table, dim: int, total: int, b
                 same = np.flatnonzero(cid[place] == own)
                 near[same, place[same]] = False
                 j, i = np.nonzero(near)
-                (x1, up1), (x2, up2) = bounds(x[:, :half], c1, r1), bounds(x[:, half:], c2, r2)
+                (x1, up1), (x2, up2) = bounds(x[:, :half], c1, r1, s1), bounds(x[:, half:], c2, r2, s2)
                 # The traversal starts from the lower of the two cells.
                 lower = q1[i] * len(c2) + q2[i] <= x1[j] * len(c2) + x2[j]
                 low = np.where(lower, low1[i, x1[j]] + low2[i, x2[j]], up1[j, q1[i]] + up2[j, q2[i]])
@@ -245,10 +276,8 @@ def _measured_limit(classes: DataFrame, asked: pa.Table, dim: int, total: int, b
         i = np.flatnonzero(far >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(far[i])], names=["i", "far"])
 
-    linked = (classes.select("cid", "unit").mapInArrow(run, "i long, far double").groupBy("i").agg(F.max("far").alias("far"))
+    linked = (classes.select("cid", "v").mapInArrow(run, "i long, far double").groupBy("i").agg(F.max("far").alias("far"))
               .agg(F.count("*").alias("n"), F.max("far").alias("far")).first())
-    if len(unit) == total:
-        return min(limit, (linked["far"] or 0.0) + 1e-9)
     if linked["n"] < 1 / (1 - target) - 1e-6:
         return limit
     return min(limit, 1.5 * linked["far"] + 1e-9)

@@ -131,6 +131,38 @@ def test_embedding_links_of_rare_and_hot_groups(spark):
         assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, **more).collect()} == want
 
 
+def test_embedding_links_by_a_measured_limit(spark):
+    """Enough linked ones among the asked: the traversal stops early; links, components and kept rows hold."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((400, 16))
+    x = np.concatenate([base, np.repeat(base, 3, 0) + 0.04 * rng.standard_normal((1200, 16)), base[:5]])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.95
+    comp = np.arange(len(x))
+    while (new := np.where(link, comp[None, :], len(x)).min(1)).tolist() != comp.tolist():
+        comp = new
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, queries=300, target_recall=0.99, sample=512).collect()}
+    found, want = sum(r.n_links for r in got.values()), link.sum() - len(x)
+    assert len(got) == len(x) and 0.99 * want <= found <= want
+    assert [got[i].component_id for i in range(len(x))] == comp.tolist()
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_embedding_codebooks_give_bounds(spark):
+    rng = np.random.default_rng(4)
+    x, centres = rng.standard_normal((200, 6)), rng.standard_normal((20, 6))
+    own = embedding_dedup._squares(x, centres).argmin(1)
+    radii = np.array([np.linalg.norm(x[own == c] - centres[c], axis=1).max(initial=0) for c in range(20)])
+    got, low = embedding_dedup.bounds(x, centres, radii, embedding_dedup.spacing(centres))
+    gap = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert (got == own).all() and (low[:, own] <= gap + 1e-9).all()
+    limit = float(np.quantile(low, 0.3))
+    cells = embedding_dedup.multi_sequence(low[0], low[1], limit, 4)
+    inside = {(i, j) for i in range(20) for j in range(20) if low[0, i] + low[1, j] <= limit}
+    assert inside <= set(cells) and len(cells) == max(4, len(inside)) == len(set(cells))
+
+
 def test_embedding_links_on_awkward_rows(spark):
     rows = spark.createDataFrame(ODD, "vec_id long, embedding array<double>")
     got = embedding_dedup.near_duplicates(rows).collect()

@@ -1,5 +1,5 @@
 """Raw-mail source queries: .eml files and zip archives written from the
-stand-in rows, read back with ``binaryFile`` and parsed (IO1, IO5, IO10-IO12,
+stand-in rows, listed and read back by tasks and parsed (IO1, IO5, IO10-IO12,
 P1-P4, P6, P8, P9, R3)."""
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ SELECT path, from_email, from_email_domain, to_email,
 FROM emails
 """, ops=("IO1", "IO5", "P2", "P3", "P4", "P12", "R3"))
 def eml_roundtrip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stand-in mail written as an .eml file, listed with binaryFile and
+    """Every stand-in mail written as an .eml file, listed by tasks and
     parsed back into its metadata row (errors kept per message)."""
     p = parsed_corpus(spark, sf_dir)
     return p.select(

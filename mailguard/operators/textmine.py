@@ -13,10 +13,15 @@ from pyspark.ml.feature import CountVectorizer, HashingTF, NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailguard.session import materialise
+
 
 def doc_terms(df: DataFrame, doc: str, tokens: str) -> DataFrame:
-    """(doc, term, tf) rows: term counts per document."""
-    return (df.select(doc, F.explode(tokens).alias("term"))
+    """(doc, term, tf) rows: term counts per document.
+
+    Whole token lists are dealt by document, so the terms are counted, and a
+    document's terms gathered, without a shuffle of (doc, term) rows."""
+    return (df.select(doc, F.col(tokens).alias("_tokens")).repartition(doc).select(doc, F.explode("_tokens").alias("term"))
             .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -103,7 +108,8 @@ def npmi_coherence(df: DataFrame, doc: str, tokens: str, topics: DataFrame) -> D
     """
     n_docs = df.select(doc).count()
     present = df.select(doc, F.explode(F.array_distinct(tokens)).alias("term"))
-    hits = present.join(topics, "term")   # topics come from the data: AQE broadcasts at a measured size
+    # Topics come from the data: AQE broadcasts at a measured size.  The hits are read three times.
+    hits = materialise(present.join(materialise(topics), "term"))
     p1 = hits.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("d1"))
     a, b = hits.alias("a"), hits.alias("b")
     pairs = (a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.topic") == F.col("b.topic"))

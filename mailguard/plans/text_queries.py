@@ -13,6 +13,7 @@ from mailguard.operators import textmine as TM
 from mailguard.plans import duck as D
 from mailguard.plans import profile_queries as PQ
 from mailguard.plans.registry import register
+from mailguard.session import materialise
 from mailguard.sources import fixtures as FX
 from mailguard.sources.tables import read_table
 
@@ -164,7 +165,7 @@ SELECT topic, round(avg(CASE WHEN p12 <= 0 THEN -1.0 WHEN p12 >= 1 THEN 1.0
 def topic_npmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NPMI coherence of per-language topics (each topic = its 5 highest-df
     cleaned terms) over document co-occurrence."""
-    docs = _topic_docs(spark, sf_dir)
+    docs = materialise(_topic_docs(spark, sf_dir))     # tokenised once, read three times
     lang = FX.emails(spark, sf_dir).select("path", F.coalesce("content_language", F.lit("none")).alias("topic"))
     pres = docs.select("path", F.explode(F.array_distinct("tokens")).alias("term")).join(lang, "path")
     ldf = pres.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -42,7 +42,7 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ML.pipeline_for("body_nontext", "logistic").fit(data.filter(F.col("split") == "train"))
     mails = FX.emails(spark, sf_dir)
     arrivals = IO.scratch_path(spark, "arrivals")
-    mails.repartition(4).write.mode("overwrite").parquet(arrivals)
+    mails.repartition(max(4, spark.sparkContext.defaultParallelism)).write.mode("overwrite").parquet(arrivals)
     incoming = S.event_stream(spark, arrivals, mails.schema)
     scored = S.score_stream(spark, incoming, model, "body_nontext", "logistic",
                             FX.domain_ns(spark, mails), FX.grammar_matches(spark, mails),

@@ -1,8 +1,10 @@
 """BPE encoding and decoding with a pair occurrence index (operator 10).
 
-The texts of an Arrow batch are split at white space; every piece not met
-before is normalised and pre-tokenised by the tokenizer file's own normalizer
-and pre-tokenizer, and all new words of the batch are merged together:
+The texts of an Arrow batch are split at white space and its different pieces
+numbered, both by Arrow.  Pieces of letters, alone or with a mark behind them,
+are words; every other piece not met before is normalised and pre-tokenised by
+the tokenizer file's own normalizer and pre-tokenizer.  All new words of the
+batch are merged together:
 
 * one symbol array holds the byte symbols of all words, linked by ``nxt`` and
   ``prv``;
@@ -20,11 +22,12 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +59,14 @@ def byte_symbols() -> dict[str, int]:
     return out
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``pool[start:start + size]`` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
 class PairIndexBpe:
     """Vocabulary, merges and the batch merger of one tokenizer file."""
 
@@ -168,41 +179,33 @@ class PairIndexBpe:
         starts = [0, *upto[:-1].tolist()]
         return [ids[s:e] for s, e in zip(starts, upto.tolist(), strict=True)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that the memo lacks, all of them in one pass over the pair index."""
+    def learn_words(self, words: Iterable[str]) -> None:
+        """Merge the words that the memo lacks, all of them in one pass over the pair index."""
+        every = dict.fromkeys(words)
+        if len(self.words) > MEMO_WORDS:                   # what this batch holds stays
+            self.words = {"\n": PIECE_END} | {w: self.words[w] for w in every if w in self.words}
+        ids = self.words
+        new = [w for w in every if w not in ids]
+        ids.update(zip(new, self.merge_words([w.encode() for w in new]), strict=True))
+
+    def learn(self, pieces: list[str], words: list[str]) -> None:
+        """Encode ``words`` and the pieces that the memo lacks."""
         fresh = [p for p in pieces if p not in self.memo]
-        if not fresh:
-            return
         if len(self.memo) + len(fresh) > MEMO_PIECES:      # what this batch holds stays
             self.memo = self.fixed | {p: self.memo[p] for p in pieces if p in self.memo}
-        plain, rest, whole, ended = [], [], [], []
+        plain, rest = [], []
         for p in fresh:
-            if p.isascii():
-                if p.isalpha():                               # one word
-                    whole.append(p)
-                elif p[-1] in ENDS and p[:-1].isalpha():      # one word and its mark
-                    ended.append(p)
-                else:
-                    (plain if p.isprintable() else rest).append(p)
-            else:
-                (plain if _PLAIN.fullmatch(p) else rest).append(p)
-        lower, before = [p.lower() for p in whole], [p[:-1].lower() for p in ended]
+            (plain if (p.isprintable() if p.isascii() else _PLAIN.fullmatch(p)) else rest).append(p)
         found = _WORDS.findall("\n".join(plain).lower() + "\n") if plain else []   # a line feed ends each piece
         split = [[bytes([self.byte_of[c] for c in w]).decode() for w, _ in self.pre(self.normalize(p))] for p in rest]
-        every = dict.fromkeys(chain(found, lower, before, ENDS if ended else "", *split))
-        if len(self.words) > MEMO_WORDS:
-            self.words = {"\n": PIECE_END} | {w: self.words[w] for w in every if w in self.words}
+        self.learn_words(chain(found, words, *split))
         ids = self.words
-        words = [w for w in every if w not in ids]
-        ids.update(zip(words, self.merge_words([w.encode() for w in words]), strict=True))
         joined = b"".join(map(ids.__getitem__, found))
         ends = np.flatnonzero(np.frombuffer(joined, "<u4") == NO_ID) * 4
         start = 0
         for p, end in zip(plain, ends.tolist(), strict=True):
             self.memo[p] = joined[start:end]
             start = end + 4
-        self.memo.update(zip(whole, map(ids.__getitem__, lower), strict=True))
-        self.memo.update((p, ids[w] + ids[p[-1]]) for p, w in zip(ended, before, strict=True))
         for p, own in zip(rest, split, strict=True):
             self.memo[p] = b"".join([ids[i] for i in own])
 
@@ -216,14 +219,55 @@ class PairIndexBpe:
             return [p for p in out if p]
         return [p for p in _SPACE.split(text) if p] if odd else text.split()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of every text, as bytes of little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        new = set().union(*split) if split else set()
-        self.learn(new)
-        memo = self.memo
-        for own in split:
-            yield b"".join(map(memo.__getitem__, own))
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """``pieces`` of every text; empty pieces may stand between them."""
+        odd = pc.match_substring_regex(texts, "<\\||[" + SEPARATORS + "]")
+        if not pc.any(odd).as_py():
+            return pc.utf8_split_whitespace(texts)
+        own = pa.array([self.pieces(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+        both = pa.concat_arrays([pc.utf8_split_whitespace(texts.filter(pc.invert(odd))), own])
+        at = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        return both.take(pa.array(np.argsort(at)))
+
+    def piece_ids(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after the other, and where each piece ends."""
+        whole = pc.ascii_is_alpha(pieces)                                    # one word
+        before = pc.utf8_slice_codeunits(pieces, 0, -1)
+        mark = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), pa.array(list(ENDS)))
+        ended = pc.and_(pc.is_valid(mark), pc.ascii_is_alpha(before))        # one word and its mark
+        simple = pc.or_(whole, ended)
+        # The same letters may begin a sentence or end one: a word is looked up once for all its pieces.
+        spelt = pc.ascii_lower(pc.if_else(whole, pieces, before).filter(simple)).dictionary_encode()
+        words, others = spelt.dictionary.to_pylist(), pieces.filter(pc.invert(simple)).to_pylist()
+        self.learn(others, [*words, *ENDS])
+        blobs = [*map(self.words.__getitem__, ENDS), *map(self.words.__getitem__, words), *map(self.memo.__getitem__, others)]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # Two parts a piece: its word or itself, and the mark behind it.
+        simple, ended = simple.to_numpy(zero_copy_only=False), ended.to_numpy(zero_copy_only=False)
+        part = np.empty((len(pieces), 2), np.int64)
+        part[simple, 0] = spelt.indices.to_numpy() + len(ENDS)
+        part[~simple, 0] = np.arange(len(others)) + len(ENDS) + len(words)
+        part[:, 1] = pc.fill_null(mark, 0).to_numpy(zero_copy_only=False)
+        size = sizes[part]
+        size[~ended, 1] = 0
+        ids, ends = gather(np.frombuffer(b"".join(blobs), "<u4"), starts[part].ravel(), size.ravel())
+        return ids, ends[1::2]
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """Ids of every text, as bytes of little-endian unsigned 32-bit integers; a null text has none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        split = self.split(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        own, ends = self.piece_ids(coded.dictionary)
+        at = coded.indices.to_numpy()
+        starts = np.concatenate([[0], ends])
+        ids, upto = gather(own, starts[at], (ends - starts[:-1])[at])
+        bounds = 4 * np.concatenate([[0], upto])[split.offsets.to_numpy()]
+        data = ids.tobytes()
+        for s, e in pairwise(bounds.tolist()):
+            yield data[s:e]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text: the tokens' strings joined by spaces (the file names no decoder)."""
@@ -262,7 +306,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(spec.value)
         for b in slices(batches, "text", slice_bytes, OWNER):
-            ids = list(bpe.encode([t or "" for t in b.column(1).to_pylist()]))
+            ids = list(bpe.encode(b.column(1)))
             decoded = [bpe.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),

@@ -120,7 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length
         tokens = 0
         for b in slices(batches, "text", 4 << 20, bpe.OWNER):
             id_arrow = b.schema.field(0).type
-            for name, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for name, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 names.append(name)
                 held.append(ids + end)
                 tokens += len(ids) // 4 + 1

@@ -35,6 +35,22 @@ def test_bpe_equals_the_library(tokenizer, text):
     assert own.decode(got).decode("utf-8", "replace") == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_numbers_the_pieces_of_a_batch(tokenizer, monkeypatch):
+    """op2, op10: every white space and odd character equals the library; only texts with separators or special
+    tokens are split one by one, and a word is merged once for all its spellings."""
+    own = bpe.PairIndexBpe(bpe.read_spec(tokenizer))
+    merged, by_hand, merge, split = [], [], own.merge_words, own.pieces
+    monkeypatch.setattr(own, "merge_words", lambda words: merged.extend(words) or merge(words))
+    monkeypatch.setattr(own, "pieces", lambda t: by_hand.append(t) or split(t))
+    odd = ["a\x1cb c", "x <|endoftext|>y"]
+    spaces = [c for c in map(chr, range(0x3100)) if c.isspace() and c not in bpe.SEPARATORS]
+    texts = ["Word word, WORD.", odd[0], "  word ", None, odd[1], "it's 3.5", *[f"{c}a{c}{c}B.{c}" for c in spaces], ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == [library_ids(tokenizer, t)[0] for t in texts]
+    assert by_hand == odd and merged.count(b"word") == 1
+    assert list(own.encode([])) == []
+
+
 def test_bpe_on_awkward_rows(edge_docs, tokenizer):
     out = bpe.encode_decode(edge_docs, tokenizer).collect()
     assert len(out) == edge_docs.count()

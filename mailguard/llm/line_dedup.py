@@ -39,17 +39,18 @@ def remove_repeats(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_c
     are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    lines = (rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # Hashes of the long lines are stored: they are read three times, and splitting the texts is most of the work.
+    lines = cut(rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
              .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
              .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key")).alias("h2")))
     shared = cut(lines.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("rows"))
                  .groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("owner"), F.sum("rows").alias("rows"))
                  .where(F.col("docs") >= min_docs).drop("docs"))
     lost = (weighted_lookup(lines, shared, ["h1", "h2"], "rows").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-            .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone")))
+            .groupBy(F.col("doc_id").alias("lost_id"), F.col("th").alias("lost_th")).agg(F.collect_set("pos").alias("gone")))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(lost["doc_id"]) & (rows["th"] == lost["th"])
-    every = rows.join(lost, same, "left").select(rows["doc_id"], F.split("text", "\n").alias("lines"), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("th") == F.col("lost_th"))
+    every = rows.join(lost, same, "left").select("doc_id", F.split("text", "\n").alias("lines"), "gone")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     return every.select("doc_id", F.size("lines").cast("long").alias("n_lines"),

@@ -44,6 +44,14 @@ def lines_by_hand(rows, min_chars, min_docs):
     return sorted(out, key=repr)
 
 
+def test_lines_are_split_and_hashed_once(spark):
+    """op11: the plan that puts the texts together reads stored hashes, it explodes no text again."""
+    docs = spark.createDataFrame([(i, "x" * 50 + f"\nown line {i}") for i in range(6)], "doc_id long, text string")
+    out = line_dedup.remove_repeats(docs)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n_dropped for r in out.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
 def test_lines_equal_brute_force(spark, edge_docs, monkeypatch):
     shared = "This line is shared by many of the documents"
     rows = [(i, f"{shared}\nown line {i}\n\t {shared.upper()} \n{shared}É" if i % 2 else f"x\r\n{shared}\n") for i in range(40)]

@@ -38,7 +38,7 @@ def event_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails arriving as files are scored by a streaming query that runs the
     batch feature plan and a model fitted on the training split."""
-    data = MQ.training_frame(spark, sf_dir)
+    data = MQ.training_frame(spark, sf_dir, "body_nontext")
     model = ML.pipeline_for("body_nontext", "logistic").fit(data.filter(F.col("split") == "train"))
     mails = FX.emails(spark, sf_dir)
     arrivals = IO.scratch_path(spark, "arrivals")

@@ -4,8 +4,8 @@
   the *same* feature plan as the batch job (stream-static joins with the
   lookup tables) and a fitted ``PipelineModel``; results land in a Parquet
   sink with a checkpoint, so a restarted query resumes exactly once.
-* R4 with R3 -- mail arriving as ``.eml`` files: a ``binaryFile`` stream;
-  every micro-batch is parsed once and scored by the function that scores a
+* R4 with R3 -- mail arriving as ``.eml`` files, listed in tasks into a log
+  that is streamed; every micro-batch is parsed once and scored by the function that scores a
   batch, and a mail that cannot be parsed becomes a row with its error.
 * R5 -- monitoring: tumbling-window counts per key with a watermark, written
   in update mode through ``foreachBatch``; every micro-batch's updated rows
@@ -108,26 +108,33 @@ def score_mails(parsed: DataFrame, stack: tuple, base: str, domain_ns: DataFrame
     return scored.unionByName(failed)
 
 
-# The columns of Spark's binaryFile source, which a stream must be told.
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+def log_arrivals(spark: SparkSession, root: str, log: str, glob: str) -> None:
+    """Add the mail files below ``root`` that the table ``log`` does not name yet; listed and compared in tasks."""
+    spark.createDataFrame([], "path string").write.mode("ignore").parquet(log)
+    new = materialise(MM.list_files(spark, root, glob).join(spark.read.schema("path string").parquet(log), "path", "left_anti"))
+    if not new.isEmpty():
+        new.write.mode("append").parquet(log)
 
 
 def score_mail_files(spark: SparkSession, root: str, stack: tuple, base: str, domain_ns: DataFrame, grammar: DataFrame,
                      segments: DataFrame, out_path: str, checkpoint: str, glob: str = "*.eml") -> None:
     """Score every mail file that has arrived below ``root`` and not been scored yet.
 
-    Runs until all files present are done.  Each micro-batch is stored under
-    its id, so one that is run again after a failure replaces its rows.  The
-    lookups are static frames; pass stored tables.
+    Tasks list the files into a log beside ``checkpoint``, and the stream reads
+    the log: Spark's own file source keeps every mail file's status on the
+    driver and lists the folders there.  Runs until all files present are done.
+    Each micro-batch is stored under its id, so one that is run again after a
+    failure replaces its rows.  The lookups are static frames; pass stored tables.
     """
-    mails = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(root))
+    log = f"{checkpoint.rstrip('/')}-arrivals"
+    log_arrivals(spark, root, log, glob)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        parsed = materialise(MM.parse_messages(batch.select(MM.local_path("path").alias("path"), "content")))
+        parsed = materialise(MM.parse_messages(MM.read_files(batch, root)).drop("parts", "headers"))
         score_mails(parsed, stack, base, domain_ns, grammar, segments).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    q = (mails.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    arrived = event_stream(spark, log, T.StructType([T.StructField("path", T.StringType())]))
+    q = (arrived.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 

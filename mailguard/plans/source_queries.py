@@ -15,7 +15,7 @@ from mailguard.plans.registry import register
 
 
 def corpus(spark: SparkSession, sf_dir: str, make_zip: bool = False) -> str:
-    """The stand-in mails as .eml files (and zips) in the shared checkpoint
+    """The stand-in mails as .eml files (or zips) in the shared checkpoint
     directory.  Written once per input folder: a completion marker makes
     later queries reuse the finished corpus instead of rewriting it."""
     import hashlib
@@ -33,9 +33,9 @@ def corpus(spark: SparkSession, sf_dir: str, make_zip: bool = False) -> str:
     return root
 
 
-def parsed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     root = corpus(spark, sf_dir)
-    parsed = MM.parse_messages(MM.read_messages(spark, root))
+    parsed = MM.parse_messages(MM.read_messages(spark, root), *columns)
     return parsed.withColumn("path", F.expr(f"substring(path, {len(root.rstrip('/')) + 1})"))
 
 
@@ -54,7 +54,9 @@ FROM emails
 def eml_roundtrip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stand-in mail written as an .eml file, listed by tasks and
     parsed back into its metadata row (errors kept per message)."""
-    p = parsed_corpus(spark, sf_dir)
+    p = parsed_corpus(spark, sf_dir, "path", "from_email", "from_email_domain", "to_email", "to_email_domain", "subject", "received",
+                      "authentication_results", "received_spf", "dkim_signature", "reply_to_domain", "content_language", "content_types",
+                      "text_html", "text_plain", "_error")
     return p.select(
         "path", "from_email", "from_email_domain", "to_email", "to_email_domain", "subject",
         F.array_join("received", "\n").alias("received_text"), "authentication_results",
@@ -87,7 +89,7 @@ def eml_sender_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display name, address and domain from the raw From header, the
     Return-Path domain and whether it is the sender's, the recipient, the
     attachments, the ticket id (parent folder) and the multipart flag."""
-    p = parsed_corpus(spark, sf_dir)
+    p = parsed_corpus(spark, sf_dir, "path", "from_header", "return_path", "to_email", "to_email_domain", "attachment_types", "is_multipart")
     name = F.nullif(F.regexp_extract("from_header", DISPLAY_NAME, 1), F.lit(""))
     addr = F.coalesce(F.nullif(F.regexp_extract("from_header", r"<([^<>]*)>", 1), F.lit("")),
                       F.trim("from_header"))
@@ -112,7 +114,7 @@ FROM emails
 def eml_header_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header map per message (X-* and IronPort-* dropped, encoded words in the
     subject decoded): subject and Received count read from the map."""
-    p = parsed_corpus(spark, sf_dir)
+    p = parsed_corpus(spark, sf_dir, "path", "headers")
     keys = F.map_keys("headers")
     return p.select(
         "path", F.coalesce(F.get(F.col("headers")["Subject"], 0), F.lit("")).alias("subject"),
@@ -128,7 +130,7 @@ FROM emails
 """, ops=("IO12",))
 def eml_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded (base64) text parts of every message: count and types."""
-    p = parsed_corpus(spark, sf_dir)
+    p = parsed_corpus(spark, sf_dir, "path", "parts")
     return p.select("path", F.size("parts").cast("long").alias("n_text_parts"),
                     F.array_join(F.transform("parts", lambda x: x["content_type"]), " ")
                     .alias("text_part_types"))
@@ -142,6 +144,6 @@ def zip_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, parsed; the .txt members are skipped."""
     root = corpus(spark, sf_dir, make_zip=True)
     members = MM.read_zip_members(spark, root)
-    parsed = MM.parse_messages(members)
+    parsed = MM.parse_messages(members, "path", "from_email")
     return parsed.select(F.expr(f"substring(path, {len(root.rstrip('/')) + 1})").alias("member"),
                          "from_email")
